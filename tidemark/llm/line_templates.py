@@ -13,21 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import broadcast_if_small, saved, text_of
 
 LEAD = 4
 #: Shorter lines are never dropped: they say too little to be a template.
 LEAST_TOKENS = 5
 CONSTANT = 0.75
 VARIABLE = "<*>"
+#: Leaves with more than one kind of line are broadcast up to so many (8 MB of hashes), and joined by a shuffle beyond.
+SMALL = 1_000_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_HAS_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: A token with a digit, matched from its start without going back.
+_HAS_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(line: Column) -> Column:
     """The line in lower case, its tokens set apart by one space, those with a digit as <*>."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, _HAS_DIGIT, VARIABLE), _SPACE, " ")))
+    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _HAS_DIGIT, VARIABLE)).otherwise(line)
+    line = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, _SPACE, " ")).otherwise(line)
+    return F.lower(F.trim(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,24 +45,30 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def recurring(lines: DataFrame, where: DataFrame) -> DataFrame:
-    """(leaf, kind, first): kinds of line whose template is in two documents or more, and the line that stays."""
+    """(leaf, kind, first): kinds of line whose template is in two documents or more, and the line that stays.
+
+    In a leaf with one kind of line the line is the template. Only the leaves with more are taken apart.
+    """
     who = F.struct("doc_id", "h", "pos")
     kinds = saved(where.groupBy("leaf", "kind").agg(F.min(who).alias("first"), F.max(who).alias("last")))
-    mixed = kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    mixed = saved(kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
+    mixed = broadcast_if_small(mixed, SMALL)
+    apart = ~F.struct("first.doc_id", "first.h").eqNullSafe(F.struct("last.doc_id", "last.h"))
+    plain = kinds.where(apart).join(mixed, "leaf", "left_anti").select("leaf", "kind", "first")
+
     texts = lines.join(mixed, "leaf", "left_semi").groupBy("leaf", "kind").agg(F.first("line").alias("line"))
-    tokens = texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    tokens = saved(texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token")))
     constant = tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("fixed", F.lit(True))
     fields = tokens.join(constant, ["leaf", "at", "token"], "left")
     shapes = fields.groupBy("leaf", "kind").agg(
         F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"),
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("shape"),
     )
-    shapes = shapes.where(F.col("share") >= CONSTANT).select("leaf", "kind", F.xxhash64("shape").alias("template"))
-    named = kinds.join(shapes, ["leaf", "kind"], "left").withColumn("template", F.coalesce(F.struct(F.lit(1).alias("by"), "template"), F.struct(F.lit(0).alias("by"), F.col("kind").alias("template"))))
-    named = named.withColumn("template", F.when(F.col("template.template").isNull(), F.struct(F.lit(0).alias("by"), F.col("kind").alias("template"))).otherwise(F.col("template")))
-    groups = named.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    groups = groups.where(~(F.struct("first.doc_id", "first.h").eqNullSafe(F.struct("last.doc_id", "last.h"))))
-    return named.select("leaf", "kind", "template").join(groups.select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "kind", "first")
+    by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64("shape").alias("hash"))
+    shapes = shapes.select("leaf", "kind", F.when(F.col("share") >= CONSTANT, by_shape).otherwise(by_itself).alias("template"))
+    named = saved(shapes.join(kinds, ["leaf", "kind"]))
+    groups = named.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(apart).drop("last")
+    return plain.unionByName(named.select("leaf", "kind", "template").join(groups, ["leaf", "template"]).select("leaf", "kind", "first"))
 
 
 def cut_lines(docs: DataFrame) -> DataFrame:
