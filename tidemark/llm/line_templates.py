@@ -36,12 +36,12 @@ def masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, line, tokens, leaf, kind): the lines long enough to be templates."""
+    """(doc_id, h, pos, line, leaf, kind): the lines long enough to be templates."""
     text = text_of()
     lines = docs.select("doc_id", F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("line", masked(F.col("raw")))
-    lines = lines.withColumn("tokens", F.split("line", " ")).where(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD))
-    return lines.select("doc_id", "h", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
+    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64("n", F.substring_index("line", " ", LEAD))
+    return lines.withColumn("n", tokens).where(F.col("n") >= LEAST_TOKENS).select("doc_id", "h", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
 
 
 def recurring(lines: DataFrame, where: DataFrame) -> DataFrame:
@@ -49,25 +49,25 @@ def recurring(lines: DataFrame, where: DataFrame) -> DataFrame:
 
     In a leaf with one kind of line the line is the template. Only the leaves with more are taken apart.
     """
-    who = F.struct("doc_id", "h", "pos")
-    kinds = saved(where.groupBy("leaf", "kind").agg(F.min(who).alias("first"), F.max(who).alias("last")))
+    kinds = where.groupBy("leaf", "kind").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last"))
+    kinds = saved(kinds.select("leaf", "kind", "first.*", (~F.struct("first.doc_id", "first.h").eqNullSafe(F.col("last"))).alias("apart")))
+    first = F.struct("doc_id", "h", "pos")
     mixed = saved(kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
     mixed = broadcast_if_small(mixed, SMALL)
-    apart = ~F.struct("first.doc_id", "first.h").eqNullSafe(F.struct("last.doc_id", "last.h"))
-    plain = kinds.where(apart).join(mixed, "leaf", "left_anti").select("leaf", "kind", "first")
-
-    texts = lines.join(mixed, "leaf", "left_semi").groupBy("leaf", "kind").agg(F.first("line").alias("line"))
-    tokens = saved(texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token")))
-    constant = tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("fixed", F.lit(True))
-    fields = tokens.join(constant, ["leaf", "at", "token"], "left")
-    shapes = fields.groupBy("leaf", "kind").agg(
-        F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"),
-        F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("shape"),
-    )
-    by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64("shape").alias("hash"))
-    shapes = shapes.select("leaf", "kind", F.when(F.col("share") >= CONSTANT, by_shape).otherwise(by_itself).alias("template"))
-    named = saved(shapes.join(kinds, ["leaf", "kind"]))
-    groups = named.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(apart).drop("last")
+    plain = kinds.where("apart").join(mixed, "leaf", "left_anti").select("leaf", "kind", first.alias("first"))
+
+    texts = saved(lines.join(mixed, "leaf", "left_semi").groupBy("leaf", "kind").agg(F.first("line").alias("line")))
+    tokens = texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != VARIABLE)
+    tokens = tokens.select("leaf", "kind", F.xxhash64("leaf", "at", "token").alias("slot"))
+    constant = tokens.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
+    shapes = tokens.join(constant, "slot").groupBy("leaf", "kind").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    sizes = texts.select("leaf", "kind", F.size(F.split("line", " ")).alias("n"))
+    shared = F.size("slots") >= CONSTANT * F.col("n")
+    by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64("slots").alias("hash"))
+    named = sizes.join(shapes, ["leaf", "kind"], "left").select("leaf", "kind", F.when(shared, by_shape).otherwise(by_itself).alias("template"))
+    named = saved(named.join(kinds, ["leaf", "kind"]).select("leaf", "kind", "template", first.alias("first"), "apart"))
+    who = F.struct("first.doc_id", "first.h")
+    groups = named.groupBy("leaf", "template").agg(F.min("first").alias("first"), (F.max("apart") | ~F.min(who).eqNullSafe(F.max(who))).alias("recurs")).where("recurs").drop("recurs")
     return plain.unionByName(named.select("leaf", "kind", "template").join(groups, ["leaf", "template"]).select("leaf", "kind", "first"))
 
 
