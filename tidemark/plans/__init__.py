@@ -1,0 +1 @@
+"""Queries over the supplied tables, each with SQL that gives the same rows."""
