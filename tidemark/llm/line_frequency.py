@@ -24,6 +24,8 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 WINDOW = 5
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
 _BLANKS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -63,10 +65,9 @@ def base(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-@F.pandas_udf("struct<n_words:long, word_chars:long, n_symbols:long, n_dup_lines:long, n_repeat_words:long>")
-def base_rules(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _base_rules(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        yield pd.DataFrame([base(t) for t in batch], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        yield pd.DataFrame([base(t) for t in batch], columns=BASE)
 
 
 def normalised(line: Column) -> Column:
@@ -90,6 +91,7 @@ def rate(docs: DataFrame) -> DataFrame:
     cut = lines.join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("line") == F.col("f_line")))
     cut = cut.groupBy("doc_id", "source", "h").agg(F.collect_set(F.struct("pos", "words")).alias("cut"))
     cut = cut.select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("h").alias("c_h"), "cut")
+    base_rules = F.pandas_udf(_base_rules, "struct<" + ", ".join(f"{c}:long" for c in BASE) + ">")
     rated = rows.select("*", base_rules("text").alias("b"))
     met = rated.join(cut, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source")) & (F.col("h") == F.col("c_h")), "left")
     lost = F.coalesce(F.aggregate("cut", F.lit(0).cast("long"), lambda s, x: s + x["words"]), F.lit(0))
