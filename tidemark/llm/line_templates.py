@@ -23,22 +23,25 @@ VARIABLE = "<*>"
 #: Leaves with more than one kind of line are broadcast up to so many (8 MB of hashes), and joined by a shuffle beyond.
 SMALL = 1_000_000
 
-_SPACE = r"[\x20\x09-\x0D]+"
+#: Several blanks inside a line, or one that is not a space.
+_BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 #: A token with a digit, matched from its start without going back.
 _HAS_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked(line: Column) -> Column:
-    """The line in lower case, its tokens set apart by one space, those with a digit as <*>."""
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _HAS_DIGIT, VARIABLE)).otherwise(line)
-    line = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, _SPACE, " ")).otherwise(line)
-    return F.lower(F.trim(line))
+def masked(text: Column) -> Column:
+    """The text's lines in lower case, their tokens set apart by one space, those with a digit as <*>.
+
+    This works on the whole text and before its lines are exploded, so that no filter on a line repeats it.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(text, _HAS_DIGIT, VARIABLE), _BLANKS, " ")
+    return F.split(F.lower(F.trim(spaced)), " ?\n ?")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, pos, line, leaf, kind): the lines long enough to be templates."""
     text = text_of()
-    lines = docs.select("doc_id", F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("line", masked(F.col("raw")))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("h"), F.posexplode(masked(text)).alias("pos", "line"))
     tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64("n", F.substring_index("line", " ", LEAD))
     return lines.withColumn("n", tokens).where(F.col("n") >= LEAST_TOKENS).select("doc_id", "h", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
