@@ -23,18 +23,18 @@ VARIABLE = "<*>"
 #: Leaves with more than one kind of line are broadcast up to so many (8 MB of hashes), and joined by a shuffle beyond.
 SMALL = 1_000_000
 
-#: Several blanks inside a line, or one that is not a space.
-_BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
-#: A token with a digit, matched from its start without going back.
-_HAS_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_TOKEN = r"[^\x20\x09-\x0D]"
 
 
 def masked(text: Column) -> Column:
     """The text's lines in lower case, their tokens set apart by one space, those with a digit as <*>.
 
-    This works on the whole text and before its lines are exploded, so that no filter on a line repeats it.
+    This works on the whole text and before its lines are exploded, so that no filter on a line repeats it. A token is cut
+    at its first digit and then, in the reversed text, up to its other end: no pattern looks back or tries a token twice.
     """
-    spaced = F.regexp_replace(F.regexp_replace(text, _HAS_DIGIT, VARIABLE), _BLANKS, " ")
+    tails = F.regexp_replace(text, "[0-9]" + _TOKEN + "*+", "0")
+    whole = F.reverse(F.regexp_replace(F.reverse(tails), "0" + _TOKEN + "*+", VARIABLE[::-1]))
+    spaced = F.regexp_replace(F.regexp_replace(whole, r"[\x09\x0B-\x0D]", " "), "  +", " ")
     return F.split(F.lower(F.trim(spaced)), " ?\n ?")
 
 
