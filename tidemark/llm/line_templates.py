@@ -26,16 +26,25 @@ SMALL = 1_000_000
 _TOKEN = r"[^\x20\x09-\x0D]"
 
 
+def _masked_line(line: Column) -> Column:
+    """A line with its tokens set apart by one space and those with a digit as <*>.
+
+    A token is cut at its first digit and then, in the reversed line, up to its other end: no pattern looks back or tries
+    a token twice.
+    """
+    tails = F.regexp_replace(line, "[0-9]" + _TOKEN + "*+", "0")
+    whole = F.reverse(F.regexp_replace(F.reverse(tails), "0" + _TOKEN + "*+", VARIABLE[::-1]))
+    return F.regexp_replace(whole, r"[\x20\x09\x0B-\x0D]++", " ")
+
+
 def masked(text: Column) -> Column:
     """The text's lines in lower case, their tokens set apart by one space, those with a digit as <*>.
 
-    This works on the whole text and before its lines are exploded, so that no filter on a line repeats it. A token is cut
-    at its first digit and then, in the reversed text, up to its other end: no pattern looks back or tries a token twice.
+    Lines are masked in the array, before they are exploded, so that no filter on a line repeats it; a line with
+    nothing to mask or to set apart is only looked through.
     """
-    tails = F.regexp_replace(text, "[0-9]" + _TOKEN + "*+", "0")
-    whole = F.reverse(F.regexp_replace(F.reverse(tails), "0" + _TOKEN + "*+", VARIABLE[::-1]))
-    spaced = F.regexp_replace(F.regexp_replace(whole, r"[\x09\x0B-\x0D]", " "), "  +", " ")
-    return F.split(F.lower(F.trim(spaced)), " ?\n ?")
+    plain = lambda line: F.lower(F.trim(F.when(line.rlike(r"[0-9\x09\x0B-\x0D]|  "), _masked_line(line)).otherwise(line)))
+    return F.transform(F.split(text, "\n"), plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
