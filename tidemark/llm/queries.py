@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import feistel, fm_quality, html_main, image_local, line_frequency, line_templates, mil_toxicity, mixing, packing, simhash
 from .common import read
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,3 @@ QUERIES = {
         op7_packing, op8_toxicity, op9_image_copies, op10_line_frequency, pipeline,
     )
 }
-
-#: SQL for DuckDB.
-ORACLES: dict[str, str] = {}
