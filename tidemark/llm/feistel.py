@@ -28,13 +28,16 @@ _FINDS = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<secret>(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[A-F]*[0-9])[0-9A-F]{24,}(?![0-9A-Za-z]))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-    |(?P<date>(?<!\w)(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?!\w))
+    |(?P<date>(?<!\w)(?:\d{4}-\d\d-\d\d(?=[Tt]\d\d)|(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?!\w)))
     |(?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
     |(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
     |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w))
     |(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))""",
     re.X | re.A,
 )
+# Lengths of IBANs by country (others are found by their check alone), and the country calling codes of one and of two digits.
+_IBAN_LENGTH = dict(AT=20, BE=16, CH=21, CZ=24, DE=22, DK=18, ES=24, FI=18, FR=27, GB=22, GR=27, HU=28, IE=22, IT=27, LU=20, NL=18, NO=15, PL=28, PT=25, SE=24)
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _MAYBE = re.compile(r"[0-9]{2}|@")
 
 
@@ -178,7 +181,8 @@ def pseudonym(cipher: Cipher, kind: str, text: str, back: bool = False) -> str |
         return _digits(cipher, kind, text, good=_ssn, back=back) if _ssn(text.replace("-", "")) else None
     if kind == "phone":
         n = sum(map(str.isdigit, text))
-        country = len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" else 0
+        head = re.sub(r"\D", "", text)[:3]
+        country = next((k for k in (1, 2) if head[:k] in _CODES), 3) if text[0] == "+" else 0
         return _digits(cipher, kind, text, skip=min(country, n - 4), back=back)
     digits = re.sub(r"\D", "", text)
     if not luhn(digits) or digits.strip("0") == "":
@@ -187,18 +191,43 @@ def pseudonym(cipher: Cipher, kind: str, text: str, back: bool = False) -> str |
     return _refill(text, body + _check_digit(body), str.isdigit)
 
 
+def _readings(found: re.Match, inside: bool) -> list[str]:
+    """What the match may be, best first: all of it, or for cards and IBANs a shorter beginning that ends with a group.
+
+    inside: it begins in a match that failed.
+    """
+    kind, text = found.lastgroup, found[0]
+    if kind not in ("card", "iban"):
+        return [text]
+    ends = [m.start() for m in re.finditer(r"[ -]", text)]
+    if kind == "iban":
+        whole = [text, *(text[:e] for e in reversed(ends) if e - text[:e].count(" ") >= 15)]
+        return sorted(whole, key=lambda t: len(t.replace(" ", "")) != _IBAN_LENGTH.get(t[:2]))
+    # a list of small numbers is no card: a part of a match counts only in groups of three digits or more
+    grouped = lambda t: sum(map(str.isdigit, t)) >= 13 and min(map(len, re.split(r"[ -]", t))) >= 3
+    return [t for t in (text, *(text[:e] for e in reversed(ends))) if grouped(t) or t == text and not inside]
+
+
 def hide(cipher: Cipher, text: str) -> tuple[str, Counter]:
-    """The text with every valid value replaced, and how many of each kind."""
+    """The text with every valid value replaced, and how many of each kind.
+
+    A match that fails its check in every reading hides no other: the search goes on behind its first character.
+    """
     counts: Counter = Counter()
     if not _MAYBE.search(text):
         return text, counts
-
-    def swap(found: re.Match) -> str:
-        new = pseudonym(cipher, found.lastgroup, found[0])
-        counts[found.lastgroup] += new is not None
-        return found[0] if new is None else new
-
-    return _FINDS.sub(swap, text), counts
+    out, done, at, failed = [], 0, 0, 0
+    while found := _FINDS.search(text, at):
+        at = found.start() + 1
+        for value in _readings(found, found.start() < failed):
+            if (new := pseudonym(cipher, found.lastgroup, value)) is not None:
+                out += [text[done : found.start()], new]
+                at = done = found.start() + len(value)
+                counts[found.lastgroup] += 1
+                break
+        else:
+            failed = max(failed, found.end())
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
