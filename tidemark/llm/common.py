@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +26,28 @@ def n_words(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a folder of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the cluster's shared checkpoint folder; a temporary one only where Spark runs on one machine."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{sc.getCheckpointDir()}/saved"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder, which outlives any executor."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder, which outlives any executor and is read by column."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_saved(spark: SparkSession) -> None:
+    """Delete all that `saved` has written; DataFrames that still read it can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(*columns: str) -> Column:
@@ -75,13 +87,15 @@ def held_out(folds: int, held: int, id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int) -> DataFrame:
-    """(doc_id, text, n_chars if there, y) of at most limit labelled rows outside the held-out fold, chosen by a hash of the id.
+    """(doc_id, text, y) of at most limit labelled documents outside the held-out fold, chosen by a hash of the id.
 
-    Labels other than 0 and 1 are left out; of several labels of one id the largest counts.
+    Labels other than 0 and 1 are left out; of several labels of one id the largest counts, of several texts the first in
+    order. The marks are broadcast: there are at most limit of them.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(folds, held))
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", text_of().alias("text")).join(marks, "doc_id")
+    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marks), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:

@@ -49,20 +49,23 @@ FROM l"""
 
 def _cut() -> str:
     """Operator 4."""
-    blank, lead = r"[\x20\x09\x0B-\x0D]+", line_templates.LEAD
+    t, blank, lead, var = line_templates, r"[\x20\x09\x0B-\x0D]+", line_templates.LEAD, line_templates.VARIABLE
+    plain = lambda line: f"lower(trim(regexp_replace({line}, '{blank}', ' ', 'g'), ' '))"
+    tokens = lambda line: f"len(string_split({line}, ' '))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-m AS (SELECT r, doc_id, string_split(regexp_replace(text, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '{line_templates.VARIABLE}', 'g'), chr(10)) AS m FROM d),
-l AS (SELECT r, doc_id, pos, lower(trim(regexp_replace(line, '{blank}', ' ', 'g'), ' ')) AS line
-      FROM (SELECT r, doc_id, unnest(m) AS line, generate_subscripts(m, 1) AS pos FROM m)),
+m AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+v AS (SELECT r, doc_id, pos, {plain('raw')} AS raw, {plain(rf"regexp_replace(raw, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '{var}', 'g')")} AS line FROM m),
+l AS (SELECT r, doc_id, pos, CASE WHEN (len(line) - len(replace(line, '{var}', ''))) / {len(var)} <= {1 - t.CONSTANT} * {tokens('line')} THEN line ELSE raw END AS line FROM v WHERE line <> ''),
 t AS (SELECT *, string_split(line, ' ') AS w FROM l),
-c AS (SELECT r, doc_id, pos, line, w, len(w) AS n, len(w) || ' ' || array_to_string(w[1:{lead}], ' ') AS leaf FROM t WHERE len(w) >= {line_templates.LEAST_TOKENS}),
-k AS (SELECT leaf, line, any_value(w) AS w, any_value(n) AS n, min((doc_id, pos)) AS first, max((doc_id, pos)) AS last FROM c GROUP BY leaf, line),
-s AS (SELECT leaf, line, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM k),
-f AS (SELECT leaf, place, token FROM s WHERE token <> '{line_templates.VARIABLE}' GROUP BY leaf, place, token HAVING count(*) > 1),
-h AS (SELECT leaf, line, count(*) AS n_constant, string_agg(place || ' ' || token, ' ' ORDER BY place) AS shape FROM s JOIN f USING (leaf, place, token) GROUP BY leaf, line),
-p AS (SELECT k.leaf, k.line, first, last, CASE WHEN n_constant >= {line_templates.CONSTANT} * n THEN '1' || shape ELSE '0' || k.line END AS template FROM k LEFT JOIN h USING (leaf, line)),
-g AS (SELECT leaf, template, min(first) AS stays FROM p GROUP BY leaf, template HAVING min(first)[1] <> max(last)[1]),
+c AS (SELECT r, doc_id, pos, line, w, len(w) AS n, len(w) || ' ' || array_to_string(w[1:{lead}], ' ') AS leaf FROM t),
+k AS (SELECT leaf, line, any_value(w) AS w, any_value(n) AS n, min((doc_id, pos)) AS first, max((doc_id, pos)) AS last, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, line),
+z AS (SELECT leaf, count(*) AS kinds FROM k GROUP BY leaf),
+u AS (SELECT leaf, line, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM k WHERE n >= {t.LEAST_TOKENS}),
+f AS (SELECT leaf, place, token FROM u JOIN z USING (leaf) WHERE token <> '{var}' GROUP BY leaf, place, token HAVING count(*) > 1 AND count(*) >= {t.SHARE} * max(kinds)),
+h AS (SELECT leaf, line, count(*) AS n_constant, string_agg(place || ' ' || token, ' ' ORDER BY place) AS shape FROM u JOIN f USING (leaf, place, token) GROUP BY leaf, line),
+p AS (SELECT k.leaf, k.line, k.n, first, last, docs, CASE WHEN n_constant >= {t.CONSTANT} * k.n THEN '1' || shape ELSE '0' || k.line END AS template FROM k LEFT JOIN h USING (leaf, line)),
+g AS (SELECT leaf, template, min(first) AS stays FROM p GROUP BY leaf, template HAVING CASE WHEN max(n) >= {t.LEAST_TOKENS} THEN min(first)[1] <> max(last)[1] ELSE max(docs) >= {t.SHORT_DOCS} END),
 x AS (SELECT c.r, c.pos FROM c JOIN p USING (leaf, line) JOIN g USING (leaf, template) WHERE (c.doc_id, c.pos) <> stays),
 cut AS (SELECT r, list(pos) AS cut FROM x GROUP BY r),
 whole AS (SELECT d.r, doc_id, string_split(text, chr(10)) AS parts, coalesce(cut, []) AS cut FROM d LEFT JOIN cut USING (r))
