@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, fm_quality, html_main, image_local, line_frequency, line_templates, mil_toxicity, mixing, packing, queries, simhash
+from tidemark.llm import feistel, fm_quality, html_main, line_frequency, line_templates, mil_toxicity, mixing, packing, queries, simhash
 from tidemark.llm.common import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -126,15 +126,6 @@ def test_mix_meets_targets_and_never_doubles_a_document(spark):
     assert abs(by.t.sum() - 1.5 * by.s.sum()) < 1e-3
 
 
-def test_lines_and_variable_fields_that_recur_are_cut(spark):
-    docs = spark.createDataFrame(
-        [(1, "report number 17 was filed by the office on monday\nfirst own words that nobody else has"), (2, "report number 18 was filed by the office on monday\nsecond text which is not the same"), (3, "tiny line\nthird one stands here all alone too"), (4, "tiny line")],
-        "doc_id long, text string",
-    )
-    got = {r.doc_id: (r.n_cut, r.text) for r in line_templates.cut_lines(docs).collect()}
-    assert got[1][0] == 0 and got[2] == (1, "second text which is not the same") and got[3][0] == got[4][0] == 0
-
-
 def test_best_fit_keeps_every_word_once():
     lengths = np.random.default_rng(1).integers(1, 8193, 400)
     bins, sizes = packing.best_fit(lengths)
@@ -190,15 +181,6 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert sorted(html_main.extract(spark.createDataFrame(odd, "page_id long, url string, html string")).toPandas().text) == ["", "x", "x"]
 
 
-def test_edited_pictures_are_found(spark):
-    media = image_local.media_of(spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(120))
-    blank = spark.createDataFrame([(-1, None), (-2, None), (-3, b"junk")], "media_id long, data binary")
-    got = image_local.copies(media.unionByName(blank)).toPandas().set_index("media_id").class_id
-    copies = [i for i in got.index if i > 0 and i % 2]
-    assert len(got) == 120 + len(copies) + 3 and got[-1] == got[-2] == -2 and got[-3] == -3
-    assert np.mean([got[i] == got[i - 1] for i in copies]) >= 0.9 and got.nunique() >= 120
-
-
 def test_models_hold_on_rows_they_have_not_seen(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
