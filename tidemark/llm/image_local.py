@@ -2,7 +2,7 @@
 
 Corners are found at several scales, each gets the orientation of its patch's intensity centroid, and 192 rotated
 binary tests describe it: which of two points is brighter, once the patch's own slope is taken off. The
-descriptors' four 48-bit parts key four Hamming tables. Images that share SHARED keys or more are compared in full: corners
+descriptors' three 64-bit parts key three Hamming tables. Images that share SHARED keys or more are compared in full: corners
 within MATCH bits vote for the similarity transform that takes one to the other, and AGREE corners that agree on
 one link the images. Equal bytes are one image.
 
@@ -26,9 +26,10 @@ from .common import broadcast_if_small, components, saved
 CORNERS = 32
 SCALES = (1.0, 0.75, 0.5625)
 MATCH = 28
-WIDTH = 48
-TABLES = 4
-#: Keys that two images must share to be compared. Edited copies share 9 or more, 19 in 20 of them.
+#: Bits of a part. Of 1,124,250 pairs of different pictures 1,405 share a part of 48 bits, 23 one of 64.
+WIDTH = 64
+TABLES = 3
+#: Keys that two images must share to be compared. Edited copies share 8 or more, 19 in 20 of them.
 SHARED = 4
 #: Corners of one image that must agree on a transform.
 AGREE = 6
@@ -179,9 +180,8 @@ class Image:
 
 
 def part_keys(words: np.ndarray) -> np.ndarray:
-    """The key of every table for every corner: the part's bits below the table's number."""
-    flat = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), 24), axis=1).reshape(-1, TABLES, WIDTH).astype(np.int64)
-    return ((flat << np.arange(WIDTH)).sum(2) | np.arange(TABLES) << WIDTH).ravel()
+    """The key of every table for every corner: the part, moved by a number of the table's own."""
+    return (words.view(np.uint64) + np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).ravel()
 
 
 def alike(a: Image, b: Image) -> bool:
