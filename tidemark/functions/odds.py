@@ -23,8 +23,8 @@ def fair_pair(a: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def kelly(p: Column, odds: Column) -> Column:
-    """Full Kelly share at decimal odds, never below 0."""
-    return F.greatest(F.lit(0.0), ((odds - 1) * p - (1 - p)) / (odds - 1))
+    """Full Kelly share at decimal odds, never below 0; odds of 1 win nothing and get nothing."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.try_divide((odds - 1) * p - (1 - p), odds - 1)), F.lit(0.0))
 
 
 def kelly_capped(p: Column, odds: Column, fraction: float = 0.25, cap: float = 0.05, confidence: Column | None = None) -> Column:

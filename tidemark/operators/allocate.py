@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .history import compounded
 from .portfolio import YEAR
 
 
@@ -88,9 +89,9 @@ def drifting_mix(rets: DataFrame, weight: Column, segment: Column) -> DataFrame:
     """
     seg = rets.withColumn("seg", segment).withColumn("_w", weight)
     frame = W.partitionBy("ticker", "seg").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    logs = F.log1p(F.coalesce("ret", F.lit(0.0)))
-    grown = seg.withColumn("_g", F.exp(F.sum(logs).over(frame))).withColumn("_b", F.exp(F.sum(logs).over(frame) - logs))
-    return grown.groupBy("d", "seg").agg((F.sum(F.col("_w") * F.col("_g")) / F.sum(F.col("_w") * F.col("_b")) - 1).alias("ret"))
+    before = W.partitionBy("ticker", "seg").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
+    grown = seg.withColumn("_g", compounded(F.col("ret"), frame)).withColumn("_b", F.coalesce(compounded(F.col("ret"), before), F.lit(1.0)))
+    return grown.groupBy("d", "seg").agg((F.try_divide(F.sum(F.col("_w") * F.col("_g")), F.sum(F.col("_w") * F.col("_b"))) - 1).alias("ret"))
 
 
 def blend(streams: DataFrame, weight: Column, n: int) -> DataFrame:

@@ -41,7 +41,29 @@ def members_as_of(days: DataFrame, membership: DataFrame, day: str) -> DataFrame
     return met.select(day, "ticker").distinct()
 
 
-def latest_filed(facts: DataFrame, decisions: DataFrame, by: list[str], at: str) -> DataFrame:
-    """For each decision and period end, the value of the newest filing known before it: (decision columns, end, val, filed)."""
-    known = decisions.join(facts, by).where(F.col("filed") < F.col(at))
-    return known.groupBy(*decisions.columns, "end").agg(F.max_by("val", F.struct("filed", "val")).alias("val"), F.max("filed").alias("filed"))
+def as_of_dates(decisions: DataFrame, facts: DataFrame, at: str, released: str, values: list[str]) -> DataFrame:
+    """`as_of` for facts that hold for every entity: solved once for each different date and joined to the decisions.
+
+    The one window has a row a date and a row a fact of the series, not a row a decision.
+    """
+    known = as_of(decisions.select(at).distinct().withColumn("_all", F.lit(0)), facts.withColumn("_all", F.lit(0)), ["_all"], at, released, values)
+    return decisions.join(known.drop("_all"), at)
+
+
+def known_between(facts: DataFrame, by: list[str], end: str = "end", filed: str = "filed") -> DataFrame:
+    """facts with `until`, the next filing for the same period: a value is the known one at filed < t <= until (null: from then on).
+
+    Of filings of one day for one period the last in order of value counts; the others are dropped.
+    """
+    last = facts.withColumn("_n", F.row_number().over(W.partitionBy(*by, end, filed).orderBy(F.desc("val")))).where("_n = 1").drop("_n")
+    return last.withColumn("until", F.lead(filed).over(W.partitionBy(*by, end).orderBy(filed)))
+
+
+def latest_filed(facts: DataFrame, decisions: DataFrame, by: list[str], at: str, within: list[str] = [], end: str = "end") -> DataFrame:  # noqa: B006
+    """For each decision and period end, the newest filing known before it: the decision's columns and the filing's.
+
+    `within` names what else tells periods apart. Each filing meets only the decisions at which it is the known one.
+    """
+    known = known_between(facts, [*by, *within], end)
+    met = decisions.join(known, by).where((F.col("filed") < F.col(at)) & (F.col("until").isNull() | (F.col(at) <= F.col("until"))))
+    return met.drop("until")

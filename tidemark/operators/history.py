@@ -46,14 +46,22 @@ def decayed_mean(df: DataFrame, by: list[str], order: list[str], value: str, w:
 
 
 def returns(prices: DataFrame, k: int = 1, out: str = "ret") -> DataFrame:
-    """p / p k rows before - 1 over (ticker, d, px)."""
-    return prices.withColumn(out, F.col("px") / F.lag("px", k).over(_over(["ticker"], ["d"])) - 1)
+    """p / p k rows before - 1 over (ticker, d, px); null after a price of 0."""
+    return prices.withColumn(out, F.try_divide("px", F.lag("px", k).over(_over(["ticker"], ["d"]))) - 1)
+
+
+def compounded(ret: Column, frame=None) -> Column:
+    """Product of 1 + ret over a group or a window frame, total losses and worse included; a null return counts as none."""
+    over = lambda c: c if frame is None else c.over(frame)
+    x = 1 + F.coalesce(ret, F.lit(0.0))
+    size = F.exp(over(F.sum(F.when(x != 0, F.log(F.abs(x))).otherwise(0.0))))
+    sign = F.when(over(F.sum((x < 0).cast("int"))) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(over(F.max((x == 0).cast("int"))) == 1, 0.0).otherwise(sign * size)
 
 
 def growth(rets: DataFrame, out: str = "cum") -> DataFrame:
-    """Compounded growth up to and with each row; a null return counts as none."""
-    logs = F.log1p(F.coalesce("ret", F.lit(0.0)))
-    return rets.withColumn(out, F.exp(F.sum(logs).over(_over(["ticker"], ["d"]).rowsBetween(W.unboundedPreceding, 0))))
+    """Compounded growth up to and with each row; a null return counts as none, and nothing grows after a total loss."""
+    return rets.withColumn(out, compounded(F.col("ret"), _over(["ticker"], ["d"]).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def above_mean(prices: DataFrame, w: int, out: str) -> DataFrame:
@@ -71,7 +79,7 @@ def turn_of_month(days: DataFrame, n: int = 3, out: str = "turn") -> DataFrame:
 
 
 def drawdown(levels: DataFrame, value: str = "cum", out: str = "dd") -> DataFrame:
-    return levels.withColumn(out, F.col(value) / F.max(value).over(_over(["ticker"], ["d"]).rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return levels.withColumn(out, F.try_divide(F.col(value), F.max(value).over(_over(["ticker"], ["d"]).rowsBetween(W.unboundedPreceding, 0))) - 1)
 
 
 def longest_drawdown(levels: DataFrame) -> DataFrame:
@@ -82,10 +90,10 @@ def longest_drawdown(levels: DataFrame) -> DataFrame:
 
 
 def rolling_beta(pairs: DataFrame, w: int, out: str = "beta") -> DataFrame:
-    """Slope of ret on bench over the w rows before (ticker, d, ret, bench); null until there are w."""
+    """Slope of ret on bench over the w rows before (ticker, d, ret, bench); null until there are w, and on a flat benchmark."""
     frame = _over(["ticker"], ["d"]).rowsBetween(-w, -1)
     full = F.count("ret").over(frame) == w
-    return pairs.withColumn(out, F.when(full, F.covar_samp("ret", "bench").over(frame) / F.var_samp("bench").over(frame)))
+    return pairs.withColumn(out, F.when(full, F.try_divide(F.covar_samp("ret", "bench").over(frame), F.var_samp("bench").over(frame))))
 
 
 def hold_for_period(signal: DataFrame, value: str, period: str, out: str) -> DataFrame:

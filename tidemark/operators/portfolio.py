@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .history import compounded
+
 YEAR = 252
 
 
@@ -22,10 +23,11 @@ def inverse_vol(vols: DataFrame, by: list[str]) -> DataFrame:
 
 
 def class_cap(weights: DataFrame, by: list[str], cls: str, cap: float) -> DataFrame:
-    """Scale each class down to the cap, then all weights back to one."""
+    """Scale each class over the cap down to it, then all weights so that they keep their sum; untouched where no class is over."""
+    group = W.partitionBy(*by)
     total = F.sum("w").over(W.partitionBy(*by, cls))
-    capped = weights.withColumn("w", F.col("w") * F.least(F.lit(1.0), F.lit(cap) / total))
-    return capped.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy(*by)))
+    capped = weights.withColumn("_all", F.sum("w").over(group)).withColumn("w", F.when(total > cap, F.col("w") * cap / total).otherwise(F.col("w")))
+    return capped.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col("_all"), F.sum("w").over(group)), F.col("w"))).drop("_all")
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -41,18 +43,39 @@ def top_k(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(score), tie))).where(F.col("rank") <= k)
 
 
-def cagr(ret: Column) -> Column:
-    return F.exp(F.sum(F.log1p(ret)) * YEAR / F.count(ret)) - 1
+def cagr(ret: Column, periods: int = YEAR) -> Column:
+    """Yearly growth of a group's returns; -1 after a total loss."""
+    grown = compounded(ret)
+    return F.when(grown <= 0, -1.0).otherwise(F.pow(grown, periods / F.greatest(F.count(ret), F.lit(1))) - 1)
+
 
+def risk(rets: DataFrame, by: list[str], periods: int = YEAR) -> DataFrame:
+    """Return, volatility, Sharpe, Sortino, drawdown and its longest days, Calmar, CVaR at 95 and 99 per cent of each series (by, d, ret).
 
-def risk(rets: DataFrame, by: list[str]) -> DataFrame:
-    """Days, mean, volatility, Sharpe and Sortino ratios and CAGR of each series, in one pass."""
-    r = F.col("ret")
-    down = F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)))
-    return rets.where("ret is not null").groupBy(*by).agg(
-        F.count("*").alias("days"), (F.avg(r) * YEAR).alias("mean"), (F.stddev_samp(r) * F.sqrt(F.lit(YEAR))).alias("vol"),
-        (F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(YEAR))).alias("sharpe"), (F.avg(r) / down * F.sqrt(F.lit(YEAR))).alias("sortino"), cagr(r).alias("cagr"),
-    )
+    With a column `bench` also information ratio and correlation (0 up to ten common days). Ratios over nothing divide by 1e-10.
+    One sort of each series serves all windows.
+    """
+    series, tiny = W.partitionBy(*by), F.lit(1e-10)
+    order = series.orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    df = rets.where("ret is not null").withColumn("_cum", compounded(F.col("ret"), order)).withColumn("_peak", F.max("_cum").over(order))
+    df = df.withColumn("_dd", F.try_divide(F.col("_cum") - F.col("_peak"), F.col("_peak"))).withColumn("_island", F.sum((F.col("_dd") >= 0).cast("int")).over(order))
+    since = F.first(F.when(F.col("_dd") < 0, F.col("d")), ignorenulls=True).over(W.partitionBy(*by, "_island").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumn("_days", F.when(F.col("_dd") < 0, F.datediff("d", since)))
+    df = df.withColumn("_rn", F.row_number().over(series.orderBy("ret", "d"))).withColumn("_n", F.count("*").over(series))
+    r, year = F.col("ret"), F.sqrt(F.lit(periods))
+    worst = lambda share: F.avg(F.when(F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share)), r))
+    down = F.sqrt(F.avg(F.when(r < 0, r * r)))
+    figures = [
+        F.count("*").alias("days"), (compounded(r) - 1).alias("total"), cagr(r, periods).alias("cagr"), (F.avg(r) * periods).alias("mean"), (F.stddev_samp(r) * year).alias("vol"),
+        (F.avg(r) / F.greatest(F.coalesce(F.stddev_samp(r), tiny), tiny) * year).alias("sharpe"), (F.avg(r) / F.greatest(F.coalesce(down, tiny), tiny) * year).alias("sortino"),
+        F.min("_dd").alias("max_dd"), F.coalesce(F.max("_days"), F.lit(0)).alias("dd_days"), worst(0.05).alias("cvar95"), worst(0.01).alias("cvar99"),
+    ]
+    if "bench" in rets.columns:
+        over = r - F.col("bench")
+        enough = F.count("bench") > 10
+        figures += [F.when(enough, F.avg(over) * periods / F.greatest(F.stddev_samp(over) * year, tiny)).otherwise(0.0).alias("ir"), F.when(enough, F.corr("ret", "bench")).otherwise(0.0).alias("corr")]
+    got = df.groupBy(*by).agg(*figures)
+    return got.withColumn("calmar", F.col("cagr") / F.greatest(F.abs("max_dd"), tiny))
 
 
 def cvar(rets: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
@@ -66,42 +89,5 @@ def cvar(rets: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
 def bankroll(bets: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Growth of a bankroll that stakes `f` at profit `x` per unit, bet after bet, and its drawdown: a closed form over logs."""
     o = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    path = bets.withColumn("roll", F.exp(F.sum(F.log1p(F.col("f") * F.col("x"))).over(o)))
+    path = bets.withColumn("roll", compounded(F.col("f") * F.col("x"), o))
     return path.withColumn("dd", F.col("roll") / F.greatest(F.lit(1.0), F.max("roll").over(o)) - 1)
-
-
-def elo(games: DataFrame, by: list[str], k: float = 20.0, home: float = 0.0, start: float = 1500.0) -> DataFrame:
-    """Ratings before each game of (league columns, seq, side_a, side_b, score_a, score_b), updated in order of seq.
-
-    A rating depends on the one before, so a league is folded in one task; leagues (and configurations) run side by side.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        ratings: dict = {}
-        group = group.sort_values(["seq", "side_a", "side_b"], kind="stable")
-        before = []
-        for a, b, x, y in zip(group["side_a"], group["side_b"], group["score_a"], group["score_b"]):
-            ra, rb = ratings.get(a, start), ratings.get(b, start)
-            expected = 1 / (1 + 10 ** (-(ra + home - rb) / 400))
-            won = 1.0 if x > y else 0.5 if x == y else 0.0
-            ratings[a], ratings[b] = ra + k * (won - expected), rb - k * (won - expected)
-            before.append((ra, rb, expected))
-        return group.assign(**dict(zip(("rating_a", "rating_b", "expected"), map(list, zip(*before)) if before else ([], [], []))))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in games.schema) + ", rating_a double, rating_b double, expected double"
-    return games.groupBy(*by).applyInPandas(fold, schema)
-
-
-def bootstrap_sharpe(rets: DataFrame, by: list[str], reps: int, mean_block: int = 20, seed: int = 11) -> DataFrame:
-    """(series, rep, sharpe) under the stationary block bootstrap of (series, pos, ret), pos = 0 ... n - 1.
-
-    A block starts where a hash of (rep, position) falls below 1 / mean_block; a running maximum carries the start along. The
-    draws come from hashes, so a lost task draws the same numbers again.
-    """
-    n = rets.groupBy(*by).agg(F.count("*").alias("n"))
-    grid = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *by, "rep", "i"), F.lit(1 << 30)) / float(1 << 30)
-    begins = F.when((F.col("i") == 0) | (u(1) < 1 / mean_block), F.struct("i", F.floor(u(2) * F.col("n")).alias("at")))
-    start = F.last(begins, ignorenulls=True).over(W.partitionBy(*by, "rep").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    drawn = grid.withColumn("s", start).withColumn("pos", (F.col("s.at") + F.col("i") - F.col("s.i")) % F.col("n"))
-    return drawn.join(rets, [*by, "pos"]).groupBy(*by, "rep").agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(YEAR))).alias("sharpe"))

@@ -1,3 +1,3 @@
 """Queries over the supplied tables, each with SQL that gives the same rows."""
 
-from . import backtests, queries  # noqa: F401 - importing registers the queries
+from . import backtests, fundamentals, inference, queries  # noqa: F401 - importing registers the queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import asof, evaluate, history, portfolio
-from .views import EVENTS, MONEYLINES, PRICES, PROBABILITIES, RETURNS, events, moneylines, prices, probabilities, r6, table
+from .views import EVENTS, MONEYLINES, MONTHLY, PAIRS, PRICES, PROBABILITIES, RETURNS, events, moneylines, monthly, pairs, prices, probabilities, r6, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = re.sub(r'(?<!["\w])at(?!["\w])', '"at"', sql)  # a key word in expressions
         return f
 
     return add
@@ -153,12 +154,8 @@ _DAILY = "(SELECT CAST(o_orderdate AS DATE) AS obs, avg(o_totalprice) AS v FROM
 @query(f"SELECT s.d, s.ticker, round(f.v, 6) AS v FROM (SELECT DISTINCT ticker, date_trunc('month', d)::DATE AS d FROM {PRICES}) s ASOF LEFT JOIN (SELECT obs + 30 AS released, v FROM {_DAILY}) f ON s.d > f.released")
 def j9_as_of_lagged(spark, sf):
     daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("obs")).agg(F.avg("o_totalprice").alias("v"))
-    facts = asof.with_lag(daily, "obs", 30)
-    tickers = prices(spark, sf).select("ticker").distinct()
     decisions = prices(spark, sf).select("ticker", F.trunc("d", "month").alias("d")).distinct()
-    each = tickers.join(F.broadcast(facts.agg(F.max("released").alias("_x"))), F.lit(True)).select("ticker")  # keeps the few tickers' names
-    known = each.crossJoin(facts)
-    return asof.as_of(decisions, known, ["ticker"], "d", "released", ["v"]).select("d", "ticker", r6("v", "v"))
+    return asof.as_of_dates(decisions, asof.with_lag(daily, "obs", 30), "d", "released", ["v"]).select("d", "ticker", r6("v", "v"))
 
 
 _MEMBERS = "(SELECT s_nationkey AS ticker, year(l_shipdate) AS yr, CAST(min(l_shipdate) AS DATE) AS start_date, CAST(max(l_shipdate) AS DATE) AS end_date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
@@ -301,7 +298,7 @@ _CUTS = ", ".join(f"{k / 10}" for k in range(1, 10))
 
 
 @query(f"""WITH v AS (SELECT p, yr < 1998 AS tr FROM {PROBABILITIES}), c AS (SELECT quantile_cont(p, [{_CUTS}]) AS cuts FROM v WHERE tr),
- b AS (SELECT len(list_filter(cuts, lambda x: x < p)) AS bin, sum(CASE WHEN tr THEN 1 ELSE 0 END) AS a, sum(CASE WHEN tr THEN 0 ELSE 1 END) AS b FROM v, c GROUP BY 1),
+ b AS (SELECT len(list_filter(list_distinct(cuts), lambda x: x <= p)) AS bin, sum(CASE WHEN tr THEN 1 ELSE 0 END) AS a, sum(CASE WHEN tr THEN 0 ELSE 1 END) AS b FROM v, c GROUP BY 1),
  s AS (SELECT greatest(a / sum(a) OVER (), 1e-6) AS a, greatest(b / sum(b) OVER (), 1e-6) AS b FROM b) SELECT round(sum((b - a) * ln(b / a)), 6) AS psi FROM s""")
 def g24_population_stability(spark, sf):
     return evaluate.psi(probabilities(spark, sf), "p", F.col("yr") < 1998).select(r6("psi", "psi"))
@@ -326,9 +323,14 @@ def t10_inverse_vol(spark, sf):
     return _weights(spark, sf).select("yr", "ticker", r6("w", "w"))
 
 
-@query(f"SELECT yr, ticker, round(w / sum(w) OVER (PARTITION BY yr), 6) AS w FROM (SELECT yr, ticker, w * least(1.0, 0.4 / sum(w) OVER (PARTITION BY yr, ticker)) AS w FROM {_IV})")
+_CLASSED = f"(SELECT d, cls, ticker, px / sum(px) OVER (PARTITION BY d) * 0.9 AS w FROM {MONTHLY})"
+_CAPPED = f"(SELECT *, sum(w) OVER (PARTITION BY d) AS every, CASE WHEN sum(w) OVER (PARTITION BY d, cls) > 0.2 THEN w * 0.2 / sum(w) OVER (PARTITION BY d, cls) ELSE w END AS c FROM {_CLASSED})"
+
+
+@query(f"SELECT d, ticker, round(c * every / sum(c) OVER (PARTITION BY d), 6) AS w FROM {_CAPPED}")
 def t13_class_cap(spark, sf):
-    return portfolio.class_cap(_weights(spark, sf), ["yr"], "ticker", 0.4).select("yr", "ticker", r6("w", "w"))
+    weights = monthly(spark, sf).withColumn("w", F.col("px") / F.sum("px").over(W.partitionBy("d")) * 0.9)
+    return portfolio.class_cap(weights, ["d"], "cls", 0.2).select("d", "ticker", r6("w", "w"))
 
 
 @query(f"SELECT yr AS date, round(sum(abs(w - coalesce(pw, 0))) / 2, 6) AS turnover FROM (SELECT a.yr, a.ticker, a.w, b.w AS pw FROM {_IV} a LEFT JOIN {_IV} b ON b.yr = a.yr - 1 AND b.ticker = a.ticker) GROUP BY 1")
@@ -336,11 +338,17 @@ def t7_turnover(spark, sf):
     return portfolio.turnover(_weights(spark, sf).withColumnRenamed("yr", "date")).select("date", r6("turnover", "turnover"))
 
 
-@query(f"SELECT ticker, count(*) AS days, round(avg(ret) * 252, 6) AS mean, round(stddev_samp(ret) * sqrt(252), 6) AS vol, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, "
-       f"round(avg(ret) / sqrt(avg(pow(least(ret, 0.0), 2))) * sqrt(252), 6) AS sortino, round(exp(sum(ln(1 + ret)) * 252 / count(ret)) - 1, 6) AS cagr FROM {RETURNS} WHERE ret IS NOT NULL GROUP BY 1")
+_LEVELS = f"(SELECT *, cum / max(cum) OVER (PARTITION BY ticker ORDER BY d) - 1 AS dd, row_number() OVER (PARTITION BY ticker ORDER BY ret, d) AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY ticker ORDER BY d)) AS cum FROM {PAIRS}))"
+_SPELLS = f"(SELECT ticker, max(days) AS dd_days FROM (SELECT ticker, island, date_diff('day', min(d), max(d)) AS days FROM (SELECT *, sum(CAST(dd >= 0 AS INT)) OVER (PARTITION BY ticker ORDER BY d) AS island FROM {_LEVELS}) WHERE dd < 0 GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"""SELECT ticker, days, round(ln(1 + total), 6) AS log_total, round(cagr, 6) AS cagr, round(vol, 6) AS vol, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(max_dd, 6) AS max_dd, CAST(dd_days AS INT) AS dd_days, round(cvar95, 6) AS cvar95,
+ round(cvar99, 6) AS cvar99, round(ir, 6) AS ir, round(corr, 6) AS corr, round(cagr / abs(max_dd), 6) AS calmar FROM (SELECT ticker, count(*) AS days, exp(sum(ln(1 + ret))) - 1 AS total, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS cagr,
+ stddev_samp(ret) * sqrt(252) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, avg(ret) / sqrt(avg(ret * ret) FILTER (WHERE ret < 0)) * sqrt(252) AS sortino, min(dd) AS max_dd, avg(ret) FILTER (WHERE rn <= greatest(1, ceil(n * 0.05))) AS cvar95,
+ avg(ret) FILTER (WHERE rn <= greatest(1, ceil(n * 0.01))) AS cvar99, avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252) AS ir, corr(ret, bench) AS corr FROM {_LEVELS} GROUP BY 1) JOIN {_SPELLS} USING (ticker)""")
 def t35_risk(spark, sf):
-    got = portfolio.risk(history.returns(prices(spark, sf)), ["ticker"])
-    return got.select("ticker", "days", *[r6(c, c) for c in ("mean", "vol", "sharpe", "sortino", "cagr")])
+    got = portfolio.risk(pairs(spark, sf), ["ticker"])
+    return got.select("ticker", "days", "dd_days", r6(F.log1p("total"), "log_total"), *[r6(c, c) for c in ("cagr", "vol", "sharpe", "sortino", "max_dd", "cvar95", "cvar99", "ir", "corr", "calmar")])
 
 
 @query(f"SELECT ticker, round(avg(ret), 6) AS cvar FROM (SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY ret, d) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY ticker) * 0.05)) AS k FROM {RETURNS} WHERE ret IS NOT NULL) WHERE rn <= k GROUP BY 1")
@@ -383,20 +391,3 @@ def s17_keep_latest(spark, sf):
 def s18_ids_without_rows(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("id"))
     return c.join(table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
-@query()
-def r1_elo(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.col("o_orderpriority").alias("league"))
-    w = W.partitionBy("league").orderBy("o_orderdate", "o_orderkey")
-    games = o.withColumn("side_b", F.lead("o_custkey").over(w)).withColumn("score_b", F.lead("o_totalprice").over(w)).where("side_b is not null and side_b <> o_custkey")
-    games = games.select("league", F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("side_a"), "side_b", F.col("o_totalprice").alias("score_a"), "score_b")
-    got = portfolio.elo(games, ["league"])
-    return got.select("league", "seq", "side_a", "side_b", r6("rating_a", "rating_a"), r6("rating_b", "rating_b"), r6("expected", "expected"))
-
-
-@query()
-def i1_bootstrap_sharpe(spark, sf):
-    rets = history.returns(prices(spark, sf)).where("ret is not null")
-    series = rets.select("ticker", (F.row_number().over(W.partitionBy("ticker").orderBy("d")) - 1).alias("pos"), "ret")
-    return portfolio.bootstrap_sharpe(series, ["ticker"], 200).select("ticker", "rep", r6("sharpe", "sharpe"))

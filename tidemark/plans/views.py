@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import Formatter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,9 +12,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(column, name: str, digits: int):
+    """So many decimals, halves away from zero of the binary value, as DuckDB's round does it."""
+    x = (column if isinstance(column, Column) else F.col(column)).cast("double") * 10.0**digits
+    whole = F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)).cast("double")
+    return (F.when(F.abs(x) < 4.5e15, whole).otherwise(x) / 10.0**digits).alias(name)
+
+
 def r6(column, name: str):
-    """Rounded for comparison across engines."""
-    return F.round(column, 6).alias(name)
+    return rounded(column, name, 6)
+
+
+def r2(column, name: str):
+    return rounded(column, name, 2)
+
+
+def shared(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A view whose text both engines read; {name} stands for a supplied table."""
+    names = {n for _, n, _, _ in Formatter().parse(text) if n}
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def plain(text: str) -> str:
+    """The same view for DuckDB, in brackets."""
+    names = {n for _, n, _, _ in Formatter().parse(text) if n}
+    return "(" + text.format(**{n: n for n in names}) + ")"
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,3 +77,37 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBABILITIES = """(SELECT o_orderkey AS id, CASE WHEN (o_orderkey * 7919) % 100 < p * 100 THEN 1 ELSE 0 END AS y, p, o_orderpriority AS grp,
  CAST(year(o_orderdate) AS INT) AS yr, (o_orderkey % 37 + 1) / 40.0 AS fair, 1 / ((o_orderkey % 37 + 1) / 40.0) AS odds, CAST(o_orderdate AS DATE) AS d
  FROM (SELECT *, least(greatest(o_totalprice / 400000, 0.02::DOUBLE), 0.98::DOUBLE) AS p FROM orders))"""
+
+
+#: One row a game: two sides, scores, whether the ground is neutral.
+GAMES_TEXT = """SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS season, CAST(floor(o_custkey / 10) AS INT) AS home,
+ CAST(floor(o_custkey / 10) + 1 + o_orderkey % 7 AS INT) AS away, CAST(floor(o_totalprice) % 61 + 70 AS INT) AS hs, CAST(floor(o_totalprice / 61) % 61 + 70 AS INT) AS vs, o_orderkey % 5 = 0 AS neutral FROM {orders}"""
+GAMES = plain(GAMES_TEXT)
+SIDES = f"""(SELECT game_id, d, season, home AS team, away AS opp, 1 AS is_home, hs AS pts, vs AS opp_pts, CASE WHEN hs > vs THEN 1.0 WHEN hs = vs THEN 0.5 ELSE 0.0 END AS won FROM {GAMES}
+ UNION ALL SELECT game_id, d, season, away, home, 0, vs, hs, CASE WHEN vs > hs THEN 1.0 WHEN hs = vs THEN 0.5 ELSE 0.0 END FROM {GAMES})"""
+
+
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, GAMES_TEXT)
+
+
+#: Price, volume and rows of each supplier and month.
+MONTHLY_TEXT = """SELECT l_suppkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, sum(l_extendedprice) / sum(l_quantity) AS px, sum(l_quantity) AS volume,
+ CAST(count(*) AS BIGINT) AS n, l_suppkey % 5 AS cls FROM {lineitem} GROUP BY l_suppkey, date_trunc('month', l_shipdate)"""
+MONTHLY = plain(MONTHLY_TEXT)
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, MONTHLY_TEXT)
+
+
+#: Daily returns of two series with a benchmark's.
+PAIRS = f"(SELECT r.ticker, r.d, r.ret, b.ret AS bench FROM {RETURNS} r JOIN {RETURNS} b ON r.d = b.d AND b.ticker = 'N' WHERE r.ticker <> 'N' AND r.ret IS NOT NULL AND b.ret IS NOT NULL)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.history import returns
+
+    rets = returns(prices(spark, sf_dir)).where("ret is not null").select("ticker", "d", "ret")
+    bench = rets.where("ticker = 'N'").select("d", F.col("ret").alias("bench"))
+    return rets.where("ticker <> 'N'").join(bench, "d").select("ticker", "d", "ret", "bench")
