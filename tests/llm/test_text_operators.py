@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import feistel, fm_quality, html_main, line_frequency, line_templates, mil_toxicity, mixing, packing, queries, simhash
+from tidemark.llm import feistel, fm_quality, line_frequency, line_templates, mil_toxicity, minhash, mixing, packing, queries, simhash
 from tidemark.llm.common import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,7 +52,7 @@ def test_operators_keep_odd_rows_and_take_empty_tables(odd, none, labels):
         assert fm_quality.score(docs, fm_quality.train(docs, labels)).where("score between 0 and 1").count() == n
         packed = packing.pack(docs, with_text=True)
         assert packed.agg(F.sum("length")).first()[0] == (sum(len((r[1] or "").encode().split()) for r in ROWS) if n else None)
-        for stage in (line_templates.dedup_lines, mixing.mixed_documents, simhash.one_of_each):
+        for stage in (line_templates.dedup_lines, mixing.mixed_documents, minhash.one_of_each):
             assert stage(docs).columns == docs.columns
             stage(docs).count()
 
@@ -152,7 +152,7 @@ def test_a_line_of_many_documents_depletes_those_that_have_little_else(spark):
 
 def test_pseudonyms_invert_and_keep_their_format():
     c = feistel.Cipher("secret")
-    for kind, value in [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("ip", "10.1.200.7"), ("date", "2021-02-28"), ("date", "25/12/2020"), ("date", "03/04/2020"), ("phone", "+1 (243) 555-5526"), ("email", "Ann.b7@mail.example.com"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), ("iban", "DE89 3704 0044 0532 0130 00")]:
+    for kind, value in [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("ip", "10.1.200.7"), ("date", "2021-02-28"), ("date", "25/12/2020"), ("date", "03/04/2020"), ("date", "3/4/2020"), ("date", "1.2.2021"), ("date", "12.2.2021"), ("phone", "+1 (243) 555-5526"), ("email", "Ann.b7@mail.example.com"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), ("iban", "DE89 3704 0044 0532 0130 00")]:
         new = feistel.pseudonym(c, kind, value)
         shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
         assert new != value and (kind in ("ip", "secret") or shape(new) == shape(value))
@@ -160,27 +160,12 @@ def test_pseudonyms_invert_and_keep_their_format():
         assert feistel._FINDS.fullmatch(value).lastgroup == kind
     assert feistel.luhn(re.sub(r"\D", "", feistel.pseudonym(c, "card", "4111 1111 1111 1111")))
     assert feistel.pseudonym(c, "card", "4111111111111112") is None and feistel.pseudonym(c, "date", "2021-02-30") is None
+    short, long = (feistel.pseudonym(c, "date", t) for t in ("3/4/2020", "2020-03-04"))
+    assert list(map(int, short.split("/"))) == [int(long.split("-")[k]) for k in (1, 2, 0)]
     text, n = feistel.hide(c, "born 2021-02-28, paid 4111-1111-1111-1111 and 28.02.2021")
     assert n == Counter(date=2, card=1) and text[5:15].split("-") == text[-10:].split(".")[::-1]
 
 
-def test_main_text():
-    page = (
-        "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='cookie-notice'>ok?</div><article><h1>A &amp; B</h1><p>one\n two<br>three<p>fo<b>ur</b>"
-        "<div class=comments><p>nice!</div><script>x</script></article><footer>end</footer></body>"
-    )
-    assert html_main.main_text(page, set()) == "A & B one two three four"
-    assert html_main.main_text("", set()) == "" and html_main.main_text("plain &lt; text", set()) == "plain < text"
-
-
-def test_style_tree_drops_what_a_host_repeats(spark):
-    rows = [(i, "http://h/x", f"<body><div class=x1>Same words each time</div><div class=x2><p>Text {i} own</p>{'<p>more of %d</p>' % i if i % 3 else ''}</div></body>") for i in range(30)]
-    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
-    assert not got.text.str.contains("Same words").any() and got.text.str.startswith("Text").all()
-    odd = [(1, None, None), (2, "", "<p>x"), (2, "", "<p>x")]
-    assert sorted(html_main.extract(spark.createDataFrame(odd, "page_id long, url string, html string")).toPandas().text) == ["", "x", "x"]
-
-
 def test_models_hold_on_rows_they_have_not_seen(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()

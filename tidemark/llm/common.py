@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, which outlives any executor and is read by column."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +50,9 @@ def forget_saved(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_key(*columns: str) -> Column:
-    """128 bits of a row's columns, nulls included: equal rows share it."""
-    packed = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+def row_key(*columns: str, seed: int) -> Column:
+    """128 bits of a seed and a row's columns, nulls included: equal rows share it."""
+    packed = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
     return F.md5(packed)
 
 

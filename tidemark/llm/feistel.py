@@ -137,7 +137,9 @@ def _date(cipher: Cipher, text: str, back: bool) -> str | None:
     start, size = first.toordinal(), last.toordinal() - first.toordinal() + 1
     ranges = (lambda v: True) if size < 100_000 else (lambda v: not 1900 <= dt.date.fromordinal(v + start).year <= 2099)
     read_as = lambda v: _day(_written(dt.date.fromordinal(v + start), order, text))
-    good = lambda v: ranges(v) and read_as(v) == (dt.date.fromordinal(v + start), order)
+    # a date keeps the digits of its month and of its day, so that one written without zeros keeps its length in every format
+    digits = lambda d: (d.month > 9, d.day > 9)
+    good = lambda v: ranges(v) and digits(dt.date.fromordinal(v + start)) == digits(day) and read_as(v) == (dt.date.fromordinal(v + start), order)
     # equal dates meet whatever their format: only day-first dates with strokes need numbers of their own
     kind = "date" if order != "dmy" or "." in text else "date:dmy"
     return _written(dt.date.fromordinal(cipher.permute(kind, size, day.toordinal() - start, good, back) + start), order, text)
@@ -145,9 +147,9 @@ def _date(cipher: Cipher, text: str, back: bool) -> str | None:
 
 def _written(day: dt.date, order: str, shape: str) -> str:
     parts, gaps = re.split(r"[-/.]", shape), re.findall(r"[-/.]", shape)
-    value = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
-    new = [value[c] for c in order]
-    return new[0] + gaps[0] + new[1] + gaps[1] + new[2] if len(parts) == 3 else shape
+    value = {"y": day.year, "m": day.month, "d": day.day}
+    new = [str(value[c]).zfill(len(p)) for c, p in zip(order, parts)]
+    return new[0] + gaps[0] + new[1] + gaps[1] + new[2]
 
 
 def pseudonym(cipher: Cipher, kind: str, text: str, back: bool = False) -> str | None:

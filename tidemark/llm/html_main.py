@@ -1,10 +1,12 @@
 """Main text of web pages with a site style tree.
 
-The pages of a host are merged in one tree of element styles (tag, class and id from the root down). A node's
-content importance falls with the entropy of its texts over the pages (a text on many pages says nothing), its presentation
-importance rises with the entropy of its styles (here: how often the node stands on a page). Branches of low
-composite importance are removed from every page of the host, beside branches that their own tags, classes or ids name as
-menus, adverts, notices and the like. Where a page marks its article, the text is taken from there.
+The pages of a host are merged in one tree of element styles (tag and classes from the root down), every block of text in
+it. A node's content importance falls with the entropy of its texts over the pages (a text on many pages says
+nothing), its presentation importance rises with the entropy of its styles (how many blocks it has on a page). A node with few
+styles takes on the importance of its branch, and one on few pages what its place alone says: text in an article is
+likely wanted. Nodes of low importance are removed from every page of the host, in articles and out of them. What remains is
+looked through once more for what its own tags, roles, classes or ids name as a menu, advert, notice, form or comment,
+and where a page marks its article, for what lies outside.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: A node is judged by its entropy only where it stands on so many different pages of the host.
-LEAST_PAGES = 10
 IMPORTANT = 0.4
-#: Weight of the presentation against the content for a node with few styles: DAMPING to the power of their number.
+#: Weight of the branch for a node with few styles, and of the place for one on few pages: DAMPING to the power of their number.
 DAMPING = 0.5
+#: Share of the presentation in a node's own importance.
+LAYOUT = 0.2
+#: Importance of a place before any page of the host has been seen.
+IN_ARTICLE, ELSEWHERE = 1.0, 0.7
 #: The verdicts are broadcast up to so many.
 SMALL = 100_000
 
 # Elements of HTML by what they do to the text.
 _RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head audio video".split())
+_TO_THE_END = frozenset("script style textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr img".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,42 +47,60 @@ _NOISE_NAMES = frozenset(
     "pagination pager masthead header footer foot copyright comment comments commentlist disqus respond reply replies share sharing social "
     "related recommended recommendations widget toolbar skip search".split()
 )
+_COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: A class such as ad-slot, menu-item or comment-list names noise by its first part, with-sidebar names none.
+_PARTS = frozenset("area bar block body box column container content group inner item items left link links list outer panel region right row section slot text top bottom unit wrap wrapper".split())
+_ADORNED = frozenset("with has have no without is not show hide".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WHITE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
-def _node(tag: str, rest: str) -> tuple[str, bool]:
-    """Style of an element, and whether its own tag or names mark it as noise."""
+def _noise_word(name: str) -> str:
+    """The part of a class or id that names noise, or nothing."""
+    parts = _NAME.findall(name)
+    if not parts or parts[0] in _ADORNED and len(parts) > 1:
+        return ""
+    if parts[-1] in _NOISE_NAMES:
+        return parts[-1]
+    return parts[0] if parts[0] in _NOISE_NAMES and parts[-1] in _PARTS else ""
+
+
+def _node(tag: str, rest: str) -> tuple[str, str]:
+    """Style of an element, and what names it as noise: its tag, role or state (`tag`), comments or other names, or nothing."""
+    by_tag = "tag" if tag in _NOISE_TAGS and tag != "form" else "name" if tag == "form" else ""
     if "=" not in rest and "hidden" not in rest:
-        return tag, tag in _NOISE_TAGS
+        return tag, by_tag
     own = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)}
-    names = own.get("class", "").split() + own.get("id", "").split()
-    words = set(_NAME.findall(" ".join(names)))
-    noise = tag in _NOISE_TAGS or not words.isdisjoint(_NOISE_NAMES) or own.get("role") in _NOISE_ROLES or re.search(r"(?:^|\s)hidden(?:\s|/|$)", rest) is not None or own.get("aria-hidden") == "true"
-    return ".".join([tag, *sorted(own.get("class", "").split())]), noise
+    classes = own.get("class", "").split()
+    words = {_noise_word(n) for n in classes + own.get("id", "").split()} - {""}
+    if own.get("role") in _NOISE_ROLES or own.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|$)", rest):
+        by_tag = "tag"
+    noise = by_tag or ("comment" if words & _COMMENT_NAMES else "name" if words else "")
+    return ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})]), noise
 
 
 class _Open:
     __slots__ = ("main", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
+    def __init__(self, tag: str, path: str, noise: str, main: bool):
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     """(path of styles, text, named as noise, inside an article) of every block of text, in the page's order."""
     found: list[tuple[str, str, bool, bool]] = []
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", "", "", False)]
     text: list[str] = []
     at, end = 0, len(page)
 
     def flush() -> None:
         if text:
             if whole := _WHITE.sub(" ", entities.unescape("".join(text))).strip():
-                found.append((stack[-1].path, whole, stack[-1].noise, stack[-1].main))
+                found.append((stack[-1].path, whole, bool(stack[-1].noise), stack[-1].main))
             text.clear()
 
     def close(upto: int) -> None:
@@ -110,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 if shut:
                     at = shut.end()
-                elif tag != "head":
+                elif tag in _TO_THE_END:
                     break
             continue
         if tag == "br":
@@ -130,12 +153,12 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                     break
         style, noise = _node(tag, token[3])
         above = stack[-1]
-        if tag == "header" and above.main:
-            noise = above.noise
-        if tag in ("html", "body"):
-            noise = False
+        if tag == "header" and above.main or tag in ("html", "body"):
+            noise = ""
+        # a name on a wrapper, or a form around the page, does not discard the article inside it
+        held = "" if tag in _MAIN and above.noise == "name" and not above.main else above.noise
         if not token[3].endswith("/"):
-            stack.append(_Open(tag, f"{above.path}/{style}", above.noise or noise, above.main or tag in _MAIN and not noise))
+            stack.append(_Open(tag, f"{above.path}/{style}", held or noise, above.main or tag in _MAIN and not (held or noise)))
     flush()
     return found
 
@@ -146,11 +169,17 @@ def _hash(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def main_text(page: str, removed: set[int]) -> str:
-    """The blocks that are neither noise nor of a removed node; those of an article where the page has one."""
-    good = [b for b in blocks(page) if not b[2] and (b[3] or not removed or _hash(b[0]) not in removed)]
-    inside = [b for b in good if b[3]]
-    return " ".join(b[1] for b in inside or good)
+def main_blocks(page: str, removed: set[int], by_name: bool = True) -> tuple[list[str], int, int]:
+    """The texts that are neither of a removed node nor named as noise, those of an article where one has any; how many blocks there are, and of removed nodes."""
+    every = blocks(page)
+    kept = [b for b in every if _hash(b[0]) not in removed] if removed else every
+    good = [b for b in kept if not b[2]] if by_name else kept
+    inside = [b[1] for b in good if b[3]] if by_name else []
+    return inside or [b[1] for b in good], len(every), len(every) - len(kept)
+
+
+def main_text(page: str, removed: set[int], by_name: bool = True) -> str:
+    return " ".join(main_blocks(page, removed, by_name)[0])
 
 
 def host_of(url: Column) -> Column:
@@ -158,50 +187,61 @@ def host_of(url: Column) -> Column:
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the site style tree's nodes outside articles that are on LEAST_PAGES different pages."""
+    """(host, path, pages, importance) of every node of the hosts' style trees that has text.
 
-    @F.pandas_udf("array<struct<node:long, content:long>>")
-    def styled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Pages of one host with the same blocks outside menus and notices are one page, so that copies of a page do not make
+    their own text unimportant. In a node's content each different text on it is a feature: its entropy over the pages is
+    log k / log pages for a text on k of them. The branch of a node is the importance of its parent's texts, all its nodes together.
+    """
+
+    @F.pandas_udf("struct<page:long, blocks:array<struct<path:string, content:long, main:boolean>>>")
+    def styled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([[{"node": _hash(p), "content": _hash(t)} for p, t, noise, main in blocks(x) if not noise and not main] for x in batch], dtype=object)
-
-    html = F.coalesce("html", F.lit(""))
-    nodes = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), F.inline(styled(html)))
-    seen = saved(nodes.groupBy("host", "node", "page", "content").agg(F.lit(1).alias("one")).drop("one"))
-    on_page = seen.groupBy("host", "node", "page").agg(F.count("*").alias("style"))
-    styles = on_page.groupBy("host", "node", "style").agg(F.count("*").alias("k"))
-    total = styles.groupBy("host", "node").agg(F.sum("k").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("k") * F.log("k")).alias("klogk")).where(F.col("pages") >= LEAST_PAGES)
-    presentation = (F.log("pages") - F.col("klogk") / F.col("pages")) / F.log("pages")
-    texts = seen.groupBy("host", "node", "content").agg(F.count("*").alias("k"))
-    content = texts.groupBy("host", "node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("spread"))
-    met = total.join(content, ["host", "node"])
-    mixed = F.pow(F.lit(DAMPING), F.col("styles"))
-    imp = (1 - mixed) * (1 - F.col("spread") / F.col("n") / F.log("pages")) + mixed * presentation
-    return met.select("host", "node", "pages", imp.alias("importance"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages.
-
-    A null html is an empty page with an empty text. A null or odd url is of the host "". Copies of a page count
-    once in the tree, so they do not make their own text unimportant. Repeated rows come back repeated; an empty
-    table gives no rows. Unclosed and stray tags, cut-off pages and pages without markup are read as they come.
+            found = [blocks(x) for x in batch]
+            yield pd.DataFrame({
+                "page": [_hash("\n".join(t for _, t, noise, _ in page if not noise)) for page in found],
+                "blocks": [[{"path": p, "content": _hash(t), "main": main} for p, t, _, main in page] for page in found],
+            })
+
+    nodes = pages.select(host_of(F.col("url")).alias("host"), styled(F.coalesce("html", F.lit(""))).alias("s")).select("host", "s.page", F.inline("s.blocks"))
+    seen = saved(nodes.groupBy("host", "path", "page", "content").agg(F.max("main").alias("main")))
+    sizes = seen.groupBy("host", "path", "page").agg(F.count("*").alias("style"), F.max("main").alias("main"))
+    styles = sizes.groupBy("host", "path", "style").agg(F.count("*").alias("k"), F.max("main").alias("main"))
+    nodes = styles.groupBy("host", "path").agg(F.sum("k").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("main").alias("main"))
+    texts = seen.groupBy("host", "path", "content").agg(F.count("*").alias("k"))
+    texts = texts.groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("spread"))
+    nodes = nodes.join(texts, ["host", "path"]).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    logs = F.log(F.greatest("pages", F.lit(2)))
+    nodes = nodes.withColumn("content", 1 - F.col("spread") / F.col("n") / logs).withColumn("presentation", (F.log("pages") - F.col("klogk") / F.col("pages")) / logs)
+    branches = nodes.groupBy("host", "parent").agg((F.sum(F.col("content") * F.col("n")) / F.sum("n")).alias("branch"))
+    few_styles, few_pages = F.pow(F.lit(DAMPING), F.col("styles")), F.pow(F.lit(DAMPING), F.col("pages") - 1)
+    tree = (1 - few_styles) * ((1 - LAYOUT) * F.col("content") + LAYOUT * F.col("presentation")) + few_styles * (F.col("content") + F.col("branch")) / 2
+    place = F.when(F.col("main"), IN_ARTICLE).otherwise(ELSEWHERE)
+    return nodes.join(branches, ["host", "parent"]).select("host", "path", "pages", ((1 - few_pages) * tree + few_pages * place).alias("importance"))
+
+
+def extract(pages: DataFrame, by_name: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars, n_blocks, n_low) for each row of pages; n_low counts the blocks of nodes that the tree removes.
+
+    A null html is an empty page with an empty text. A null or odd url is of the host "". Repeated rows come back
+    repeated; an empty table gives no rows; other columns are not looked at. Unclosed and stray tags, cut-off pages and pages
+    without markup are read as they come. by_name=False leaves out the last check by names and articles: the tree alone decides.
     """
-    low = saved(node_importance(pages).where(F.col("importance") < IMPORTANT).groupBy("host").agg(F.collect_set("node").alias("removed")))
-    size = low.agg(F.sum(F.size("removed")), F.count("*")).first()
+
+    @F.pandas_udf("long")
+    def hashed(paths: pd.Series) -> pd.Series:
+        return pd.Series([_hash(p) for p in paths], dtype="int64")
+
+    low = saved(node_importance(pages).where(F.col("importance") < IMPORTANT).groupBy("host").agg(F.collect_set(hashed("path")).alias("removed")))
+    size = low.agg(F.sum(F.size("removed"))).first()[0] or 0
     low = low.withColumnRenamed("host", "l_host")
 
-    @F.pandas_udf("string")
-    def text_only(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, removed in texts:
-            yield pd.Series([main_text(h, set() if r is None else set(r.tolist())) for h, r in zip(html, removed)], dtype=object)
-
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"))
-    if size[0]:
-        low = F.broadcast(low) if size[0] <= SMALL else low
-        rows = rows.join(low, host_of(F.col("url")) == F.col("l_host"), "left")
-    else:
-        rows = rows.withColumn("removed", F.lit(None).cast("array<long>"))
-    out = rows.select("page_id", "url", text_only("html", "removed").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    @F.pandas_udf("struct<text:string, n_blocks:int, n_low:int>")
+    def text_only(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for html, removed in parts:
+            got = [main_blocks(h, set() if r is None else set(r.tolist()), by_name) for h, r in zip(html, removed)]
+            yield pd.DataFrame({"text": [" ".join(t) for t, _, _ in got], "n_blocks": [n for _, n, _ in got], "n_low": [k for _, _, k in got]})
+
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(low) if size <= SMALL else low, host_of(F.col("url")) == F.col("l_host"), "left")
+    out = rows.select("page_id", "url", text_only("html", "removed").alias("t")).select("page_id", "url", "t.*")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_low")

@@ -34,9 +34,14 @@ def features(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
 
 
+def numbered(text: str) -> list[tuple[int, set[str]]]:
+    """Number and distinct words of each sentence that has a letter; numbers count every part between sentence ends."""
+    return [(i, s) for i, part in enumerate(_ENDS.split(text.lower())) if (s := set(_LETTERS.findall(part)))]
+
+
 def sentences(text: str) -> list[set[str]]:
     """The distinct words of each sentence that has a letter; one empty sentence where none has."""
-    return [s for part in _ENDS.split(text.lower()) if (s := set(_LETTERS.findall(part)))] or [set()]
+    return [s for _, s in numbered(text)] or [set()]
 
 
 @dataclass
@@ -59,8 +64,40 @@ class Model:
 
     def document(self, text: str) -> float:
         """Noisy-or over the sentences."""
-        logits = np.fromiter(map(self.sentence, sentences(text)), float)
-        return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+        return noisy_or(np.fromiter(map(self.sentence, sentences(text)), float))
+
+    def judged(self, text: str, threshold: float = 0.5) -> tuple[float, int | None, float | None, int]:
+        """Score of a document, number and score of its worst sentence (the first of them), and how many are at or above the threshold."""
+        parts = numbered(text)
+        logits = np.fromiter((self.sentence(s) for _, s in parts), float, len(parts)) if parts else np.array([self.bias])
+        worst = int(logits.argmax())
+        if not parts:
+            return noisy_or(logits), None, None, 0
+        return noisy_or(logits), parts[worst][0], float(_sigmoid(logits[worst])), int((_sigmoid(logits) >= threshold).sum())
+
+
+def noisy_or(logits: np.ndarray) -> float:
+    """1 - prod(1 - p) over sentences of these logits."""
+    return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def loss_and_slope(theta: np.ndarray, y: np.ndarray, empty: np.ndarray, sentence_doc: np.ndarray, at_sentence: np.ndarray, word: np.ndarray, n_sentences: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log loss of the noisy-or plus ridge, and its gradient: a document's label is shared out among its sentences.
+
+    theta: the words' weights, then the bias. Sentences without a weighted word are only counted (`empty`).
+    """
+    s = theta[-1] + np.bincount(at_sentence, theta[word], n_sentences)
+    keep = np.bincount(sentence_doc, np.logaddexp(0, s), len(y)) + empty * np.logaddexp(0, theta[-1])
+    whole = np.maximum(-np.expm1(-keep), 1e-9)
+    loss = (-(y * np.log(whole)) + (1 - y) * keep).mean() + ridge / 2 * (theta[:-1] ** 2).sum()
+    share = (1 - y / whole) / len(y)
+    by_sentence = share[sentence_doc] * _sigmoid(s)
+    slope = np.bincount(word, by_sentence[at_sentence], len(theta) - 1) + ridge * theta[:-1]
+    return float(loss), np.append(slope, by_sentence.sum() + (share * empty).sum() * _sigmoid(theta[-1]))
 
 
 def _vocabulary(sample: DataFrame) -> list[str]:
@@ -116,52 +153,54 @@ def _fit(got: pd.DataFrame, words: list[str], rounds: int = 400, rate: float = 0
     theta = np.zeros(len(words) + 1)
     theta[-1] = np.log(max(y.mean(), 1e-3) / max(empty.mean(), 1.0))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, rounds + 1):
-        s = theta[-1] + np.bincount(at_sentence, theta[word], len(lengths))
-        p, p0 = sigmoid(s), sigmoid(theta[-1])
-        keep = np.bincount(sentence_doc, np.logaddexp(0, s), len(y)) + empty * np.logaddexp(0, theta[-1])
-        whole = np.maximum(-np.expm1(-keep), 1e-9)
-        share = (1 - y / whole) / len(y)
-        by_sentence = share[sentence_doc] * p
-        slope = np.append(np.bincount(word, by_sentence[at_sentence], len(words)) + ridge * theta[:-1], by_sentence.sum() + (share * empty).sum() * p0)
+        _, slope = loss_and_slope(theta, y, empty, sentence_doc, at_sentence, word, len(lengths), ridge)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return Model(float(theta[-1]), {w: round(float(x), 6) for w, x in zip(words, theta) if abs(x) > 1e-3})
 
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = HELD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row: whole texts, a null text as the empty one.
+    """(doc_id, held_out, score, predicted, worst_sentence, worst_score, n_offending) for every row: whole texts, a null text as the empty one.
 
+    worst_sentence is the number that `locate` gives the sentence of the highest score, null where no sentence has a letter.
     Row by row: ties and repeated rows score alike, an empty table gives no rows, other columns are not looked at.
     """
 
-    @F.pandas_udf("double")
-    def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<score:double, worst_sentence:int, worst_score:double, n_offending:int>")
+    def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([model.document(t) for t in batch], dtype=float)
+            yield pd.DataFrame([model.judged(t) for t in batch], columns=["score", "worst_sentence", "worst_score", "n_offending"]).astype({"worst_sentence": "Int32"})
 
-    scored = docs.select("doc_id", held_out(folds, held).alias("held_out"), toxicity(text_of()).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    scored = docs.select("doc_id", held_out(folds, held).alias("held_out"), toxicity(text_of()).alias("t")).select("doc_id", "held_out", "t.*")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_sentence", "worst_score", "n_offending")
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, sentence_no, sentence, score) of every sentence at or above the threshold."""
+    """(doc_id, sentence_no, sentence, score) of every sentence with a letter at or above the threshold.
+
+    A null or empty text has none; repeated rows have theirs each; an empty table gives no rows; other columns are not looked at.
+    """
 
     @F.pandas_udf("array<struct<sentence_no:int, sentence:string, score:double>>")
     def offending(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             out = []
             for text in batch:
-                scored = [(i, s.strip(), float(1 / (1 + np.exp(-model.sentence(set(_LETTERS.findall(s.lower()))))))) for i, s in enumerate(_ENDS.split(text))]
-                out.append([{"sentence_no": i, "sentence": s, "score": p} for i, s, p in scored if p >= threshold])
+                parts = _ENDS.split(text)
+                scored = [(i, float(_sigmoid(model.sentence(words)))) for i, words in numbered(text)]
+                out.append([{"sentence_no": i, "sentence": parts[i].strip(), "score": p} for i, p in scored if p >= threshold])
             yield pd.Series(out, dtype=object)
 
     return docs.select("doc_id", F.inline(offending(text_of())))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that the model does not mark as toxic, their columns as they were."""
+    """documents that the model does not mark as toxic, their columns as they were.
+
+    Null and empty texts are judged as the empty text, repeated rows alike; an empty table gives no rows. Without a
+    labelled document of each kind nothing is rejected.
+    """
     model = train(docs, labels)
 
     @F.pandas_udf("boolean")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, n_words, row_key, saved, text_of
 
+#: Another seed puts a shard's documents in another order, so other blocks are taken.
+SEED = 17
+
 #: Weights of the sources in order of their code points, repeating.
 WEIGHTS = (3, 1, 2)
 #: Size of the mix against all words, and the most often that a source's words are taken.
@@ -63,17 +66,17 @@ def _shard(key: Column, shards: Column) -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), shards)
 
 
-def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, carry: bool = False, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), and with carry `row`, for each row of docs.
 
     taken counts the words of the document that the mix takes, repeats included: whole copies, and at a
     shard's end the document's first words. A null or word-free text has size 0 and nothing taken; a null source is
     the last one; equal rows are interchangeable. A mix of no words takes none. An empty table
-    gives no rows. Only doc_id, text and source are looked at. The order is seeded by the rows' own md5, so reruns agree.
+    gives no rows. Only doc_id, text and source are looked at. The order is that of an md5 of the seed and the row, so reruns agree.
     """
     kept = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     text = text_of()
-    rows = docs.select("doc_id", "source", n_words(text).alias("size"), row_key("doc_id", "text").alias("key"), *kept)
+    rows = docs.select("doc_id", "source", n_words(text).alias("size"), row_key("doc_id", "text", seed=seed).alias("key"), *kept)
     sized = saved(rows.drop("row")) if kept else saved(rows)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goals = targets(sizes).withColumn("seats", F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / BLOCK + 0.5).cast("long")).withColumn("all", F.lit(0))
@@ -95,7 +98,8 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """documents as the mix takes them: each row as often as it is taken whole, and once more with its first words where it is taken in part.
 
-    A piece has its words set apart by one space. Documents of which no word is taken are left out.
+    A piece has its words set apart by one space. Documents of which no word is taken, nulls and empty texts among them, are
+    left out; repeated rows are taken each for itself; an empty table gives no rows.
     """
     got = mix(docs, carry=True).where("taken > 0")
     text = F.col("row.text")

@@ -11,7 +11,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def _mixed() -> str:
     """Operator 2. The order of a shard is that of md5, so its quotas and takes follow from sizes alone."""
     weights = ", ".join(map(str, mixing.WEIGHTS))
-    key = r"md5(concat_ws(chr(31), coalesce('=' || doc_id::VARCHAR, '-'), coalesce('=' || text, '-')))"
+    key = rf"md5(concat_ws(chr(31), '{mixing.SEED}', coalesce('=' || doc_id::VARCHAR, '-'), coalesce('=' || text, '-')))"
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, {key} AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),

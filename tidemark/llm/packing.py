@@ -1,9 +1,10 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Documents are dealt to shards of bounded size by a hash of the row; a shard is packed in one task. Its pieces
-go, longest first, to the open bin that they leave the least room in. Where none has room, a bin opens with the
-capacity that costs least for each word still to come, and in the end each bin shrinks to the least
-permitted capacity that holds it. A capacity's cost is linear (padding) and quadratic (attention) plus a fixed part.
+go, longest first, to the open bin that they leave the least room in. Where none has room, a bin opens, and in the end each
+bin shrinks to the least permitted capacity that holds it. The lengths are optimised jointly: the shard is packed
+once with each permitted length as the one that opens, and once with the one that costs least for each word still to
+come; the packing whose bins cost least in all is taken. A capacity's cost is linear (padding) and quadratic (attention) plus a fixed part.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def cost(capacity: float) -> float:
     return capacity * (1 + capacity * SQUARE_COST) + FIXED_COST
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, list[int]]:
-    """Bin number of each piece, and each bin's capacity. Pieces are of one word at least and fit the largest capacity."""
+def _packed(lengths: np.ndarray, capacities: tuple[int, ...], opens: int | None) -> tuple[np.ndarray, list[int]]:
+    """Best fit where bins open with capacity `opens` (or the least that fits), or with the cheapest for each word still to come."""
     order = np.argsort(-lengths, kind="stable")
     left, bins = int(lengths.sum()), np.zeros(len(lengths), np.int64)
     used: list[int] = []
@@ -47,7 +48,8 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> t
             if not by_room[room]:
                 del by_room[room], rooms[at]
         else:
-            room = min((c for c in capacities if c >= size), key=lambda c: (cost(c) / min(c, left), -c))
+            fit = [c for c in capacities if c >= size]
+            room = min(fit, key=lambda c: (cost(c) / min(c, left), -c)) if opens is None else max(opens, fit[0])
             bin_no = len(used)
             used.append(0)
         bins[i] = bin_no
@@ -61,6 +63,12 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> t
     return bins, [next(c for c in capacities if c >= u) for u in used]
 
 
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, list[int]]:
+    """Bin number of each piece, and each bin's capacity, of the cheapest packing. Pieces are of one word at least and fit the largest capacity."""
+    tried = [_packed(lengths, capacities, opens) for opens in (None, *capacities)]
+    return min(tried, key=lambda t: sum(map(cost, t[1])))
+
+
 def _cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, length) of the pieces: a longer document is cut every `most` words."""
     n = -(-lengths // most)

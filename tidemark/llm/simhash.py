@@ -198,13 +198,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """documents with one row of each group of near duplicates: the one with the smallest doc_id.
-
-    Rows without an id cannot be named in a group and stay.
-    """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
