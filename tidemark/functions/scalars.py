@@ -32,9 +32,20 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return 2 * EARTH_KM * F.asin(F.sqrt(h))
 
 
-def team_name(name: Column) -> Column:
-    """Lower case, letters, digits and single spaces only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9 ]", " "), " +", " "))
+# Short forms in team names, and what they stand for.
+SHORT_FORMS = [(r"\bst\b$", "state"), (r"\bst\b(?!\.*\s)", "st."), (r"\buniv\b", "university"), (r"\bchr\b", "christian")]
+
+
+def team_name(name: Column, known: dict[str, str] | None = None) -> Column:
+    """The known form of a name in lower case, else single spaces and short forms written out; a null name is empty."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    whole = F.regexp_replace(low, r"\s+", " ")
+    for pattern, full in SHORT_FORMS:
+        whole = F.regexp_replace(whole, pattern, full)
+    if known:
+        table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, low), F.trim(whole))
+    return F.trim(whole)
 
 
 def size_bucket(value: Column, large: float, mid: float, small: float) -> Column:

@@ -98,3 +98,8 @@ def blend(streams: DataFrame, weight: Column, n: int) -> DataFrame:
     """(d, ret): weighted sum of n return streams (ticker, d, ret) on the days that all of them have."""
     full = streams.where("ret is not null").groupBy("d").agg(F.sum(F.col("ret") * weight).alias("ret"), F.count("*").alias("_n"))
     return full.where(F.col("_n") == n).drop("_n")
+
+
+def switching_costs(rets: DataFrame, flip: str, bps: float, out: str = "net") -> DataFrame:
+    """Returns less a one-way cost on the trading day after a signal flips."""
+    return rets.withColumn(out, F.col("ret") - F.when(F.lag(flip).over(_series()) > 0.5, bps / 10000).otherwise(0.0))
