@@ -172,15 +172,15 @@ def resamples(series: DataFrame, by: list[str], columns: list[str], reps: int, m
     """
     rows = positions(series, by)
     whole = rows.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("rows"))
+    whole = whole.select(*by, "n", *[F.transform("rows", _field(c)).alias(c) for c in columns])  # before the join, once a series
     blocks = block_draws(rows.select("n").distinct(), reps, mean_block, seed).groupBy("n", "rep").agg(F.array_sort(F.collect_list(F.struct("before", "start", "size"))).alias("blocks"))
     at = F.flatten(F.transform("blocks", lambda b: F.transform(F.sequence(F.lit(0), b["size"] - 1), lambda i: (b["start"] + i) % F.col("n"))))
     met = blocks.join(F.broadcast(whole) if rows.limit(SMALL + 1).count() <= SMALL else whole, "n").withColumn("at", at)
+    return met.select(*by, "rep", *[F.transform("at", _picked(c)).alias(c) for c in columns])
 
-    def picked(c: str) -> Column:
-        return F.transform("at", lambda i: F.get(F.col("values").getField(c), i.cast("int"))).alias(c)
 
-    met = met.withColumn("values", F.struct(*[F.transform("rows", _field(c)).alias(c) for c in columns]))
-    return met.select(*by, "rep", *[picked(c) for c in columns])
+def _picked(name: str):
+    return lambda i: F.get(F.col(name), i.cast("int"))
 
 
 def _field(name: str):
@@ -190,12 +190,13 @@ def _field(name: str):
 def metric_interval(rets: DataFrame, by: list[str], metric, reps: int, confidence: float = 0.90, **how) -> DataFrame:
     """(by, low, high) of any metric(np.ndarray) -> float over resamples of ret."""
 
-    @F.pandas_udf("double")
-    def measured(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in rows:
-            yield pd.Series([float(metric(np.asarray(r, float))) for r in batch], dtype=float)
+    drawn = resamples(rets, by, ["ret"], reps, **how)
 
-    got = resamples(rets, by, ["ret"], reps, **how).select(*by, measured("ret").alias("m"))
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[by].assign(m=[float(metric(np.asarray(r, float))) for r in batch["ret"]])
+
+    got = drawn.mapInPandas(measured, ", ".join(f"{c} {drawn.schema[c].dataType.simpleString()}" for c in by) + ", m double")
     tail = (1 - confidence) / 2
     return got.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
 
