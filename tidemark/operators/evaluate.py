@@ -20,6 +20,13 @@ def binary_scores(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), log_loss(y, p).alias("log_loss"), F.avg(((p >= 0.5) == (y == 1)).cast("double")).alias("accuracy"), F.avg(F.pow(p - y, 2)).alias("brier"))
 
 
+def class_scores(df: DataFrame, by: list[str]) -> DataFrame:
+    """n, log_loss and accuracy of (c, q): the true class 0 ... k - 1 and an array of k probabilities; the first of equal ones is the guess."""
+    true = F.greatest(F.get("q", F.col("c")), F.lit(EPS))
+    guess = F.array_position("q", F.array_max("q")) - 1
+    return df.groupBy(*by).agg(F.count("*").alias("n"), (-F.avg(F.log(true))).alias("log_loss"), F.avg((guess == F.col("c")).cast("double")).alias("accuracy"))
+
+
 def calibration_bins(df: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, mean p and mean y; bins are [lo, hi), the last one closed, empty ones left out."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
