@@ -2,11 +2,10 @@
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import asof, evaluate, history, portfolio
+from tidemark.operators import asof, evaluate, history
 
 
 def test_a_fact_of_the_same_day_is_not_seen(spark):
@@ -42,9 +41,3 @@ def test_holm_never_falls(spark):
     t = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "fam string, test string, p double")
     got = {r.test: round(r.adj, 6) for r in evaluate.holm(t, ["fam"], "p", "adj").collect()}
     assert got == {"a": 0.03, "c": 0.06, "b": 0.06}
-
-
-def test_elo_is_zero_sum_and_starts_even(spark):
-    g = spark.createDataFrame(pd.DataFrame({"lg": ["n", "n"], "seq": [1, 2], "side_a": [1, 2], "side_b": [2, 1], "score_a": [3.0, 1.0], "score_b": [1.0, 1.0]}))
-    rows = portfolio.elo(g, ["lg"]).orderBy("seq").collect()
-    assert rows[0].expected == 0.5 and rows[1].rating_a == 1490.0 and rows[1].rating_b == 1510.0

@@ -26,8 +26,9 @@ def class_cap(weights: DataFrame, by: list[str], cls: str, cap: float) -> DataFr
     """Scale each class over the cap down to it, then all weights so that they keep their sum; untouched where no class is over."""
     group = W.partitionBy(*by)
     total = F.sum("w").over(W.partitionBy(*by, cls))
-    capped = weights.withColumn("_all", F.sum("w").over(group)).withColumn("w", F.when(total > cap, F.col("w") * cap / total).otherwise(F.col("w")))
-    return capped.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col("_all"), F.sum("w").over(group)), F.col("w"))).drop("_all")
+    capped = weights.withColumn("_all", F.sum("w").over(group)).withColumn("_c", F.when(total > cap, F.col("w") * cap / total))
+    scaled = F.try_divide(F.coalesce("_c", "w") * F.col("_all"), F.sum(F.coalesce("_c", "w")).over(group))
+    return capped.withColumn("w", F.when(F.count("_c").over(group) > 0, F.coalesce(scaled, "w")).otherwise(F.col("w"))).drop("_all", "_c")
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def risk(rets: DataFrame, by: list[str], periods: int = YEAR) -> DataFrame:
     if "bench" in rets.columns:
         over = r - F.col("bench")
         enough = F.count("bench") > 10
-        figures += [F.when(enough, F.avg(over) * periods / F.greatest(F.stddev_samp(over) * year, tiny)).otherwise(0.0).alias("ir"), F.when(enough, F.corr("ret", "bench")).otherwise(0.0).alias("corr")]
+        figures += [F.when(enough, F.avg(over) * periods / F.greatest(F.stddev_samp(over) * year, tiny)).otherwise(0.0).alias("ir"), F.when(enough, F.try_divide(F.covar_pop("ret", "bench"), F.stddev_pop(F.when(F.col("bench").isNotNull(), r)) * F.stddev_pop("bench"))).otherwise(0.0).alias("corr")]
     got = df.groupBy(*by).agg(*figures)
     return got.withColumn("calmar", F.col("cagr") / F.greatest(F.abs("max_dd"), tiny))
 

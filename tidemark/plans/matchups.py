@@ -135,15 +135,15 @@ def a1_a2_a3_season_ends(spark, sf):
     return ends.select("season", "team", "games", *[r6(c, c) for c in ("pts", "won", "share")], r6(F.avg("pts").over(W.partitionBy("season")), "league"))
 
 
-_PLAYERS = "(SELECT l_orderkey AS game, l_suppkey AS player, l_quantity AS mins, l_extendedprice / 1000 AS pts, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_suppkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+_PLAYERS = "(SELECT l_orderkey AS game, l_suppkey AS player, l_quantity AS mins, l_extendedprice / 7 AS pts, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_suppkey, l_linenumber, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
 
 
 @query(f"""SELECT game, round(avg(pts) FILTER (WHERE k <= 3), 6) AS top3, round(avg(pts) FILTER (WHERE k <= 3) - avg(pts) FILTER (WHERE k > 3), 6) AS bench_gap, round(stddev_samp(pts), 6) AS sd, round(sum(mins * mins) / pow(sum(mins), 2), 6) AS hhi, round(sum(mins * pts) / sum(mins), 6) AS weighted FROM {_PLAYERS} WHERE n >= 3 GROUP BY 1""")
 def a4_a5_player_features(spark, sf):
     """Players of a game to features of their team: the three with most minutes, the bench, concentration; none under three players."""
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_quantity").alias("mins"), (F.col("l_extendedprice") / 1000).alias("pts"), "l_suppkey", "l_linenumber")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_quantity").alias("mins"), (F.col("l_extendedprice") / 7).alias("pts"), "l_suppkey", "l_linenumber")
     w = W.partitionBy("game")
-    li = li.withColumn("k", F.row_number().over(w.orderBy(F.desc("mins"), "l_suppkey", "l_linenumber"))).withColumn("n", F.count("*").over(w)).where("n >= 3")
+    li = li.withColumn("k", F.row_number().over(w.orderBy(F.desc("mins"), "l_suppkey", "l_linenumber", "pts"))).withColumn("n", F.count("*").over(w)).where("n >= 3")
     top, rest = F.avg(F.when(F.col("k") <= 3, F.col("pts"))), F.avg(F.when(F.col("k") > 3, F.col("pts")))
     return li.groupBy("game").agg(r6(top, "top3"), r6(top - rest, "bench_gap"), r6(F.stddev_samp("pts"), "sd"), r6(F.sum(F.col("mins") * F.col("mins")) / F.pow(F.sum("mins"), 2), "hhi"), r6(F.sum(F.col("mins") * F.col("pts")) / F.sum("mins"), "weighted"))
 
