@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_frequency, line_templates, mixing
+from . import collocations, line_frequency, line_templates, mixing, suffix_automaton
 
 #: A row's words, and its text with a null read as the empty text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,4 +99,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
-ORACLES = {"op2_mixing": _mixed(), "op4_line_templates": _cut(), "op10_line_frequency": _rated()}
+def _audited() -> str:
+    """Operator 11: whole trees level by level, siblings from the leaf up, then from the part's root up, and the fold of both."""
+    packed = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(packed, ["doc_id", "source", "lang", n, "text"])) + ")"
+    levels = lambda name, start: f"""
+{name}(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, h, n FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2)"""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, coalesce('=' || lang, '-') AS tree, doc_id, lang, {leaf('n_chars')} AS leaf,
+  {leaf('(n_chars + 1)')} AS bad FROM documents),
+crc AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS t FROM documents WHERE doc_id IS NOT NULL),
+folds(doc_id, t, i, c, bit) AS (
+  SELECT doc_id, t, 0, 4294967295::BIGINT, 8 FROM crc
+  UNION ALL
+  SELECT doc_id, t, CASE WHEN bit = 8 THEN i + 1 ELSE i END,
+    CASE WHEN bit = 8 THEN xor(c, ascii(t[i + 1])::BIGINT) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END,
+    CASE WHEN bit = 8 THEN 0 ELSE bit + 1 END
+  FROM folds WHERE bit < 8 OR i < length(t)),
+crcs AS (SELECT doc_id, xor(c, 4294967295::BIGINT) % 7 = 0 AS hit FROM folds WHERE i = length(t) AND bit = 8),
+o AS (SELECT d.*, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+  CASE WHEN hit THEN coalesce(bad, leaf) ELSE leaf END AS seen FROM (SELECT d.*, coalesce(hit, false) AS hit FROM d LEFT JOIN crcs USING (doc_id)) d),
+starts AS (SELECT tree, pos, leaf AS h, n FROM o),{levels('parts', 'starts')},
+tops0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n, tree AS part FROM parts WHERE n = 1),
+tops1 AS (SELECT tree, pos, h, n FROM tops0),{levels('tops', 'tops1')},
+path(r, top, tree, level, pos, proof, h) AS (
+  SELECT r, false, tree, 0, pos, '', seen FROM o
+  UNION ALL
+  SELECT r, top, tree, level, pos, proof, h FROM (
+    SELECT p.r, p.top, p.tree, p.level + 1 AS level, p.pos // 2 AS pos, p.proof || coalesce(s.h, '') AS proof,
+      sha256(CASE WHEN p.pos % 2 = 1 THEN s.h || p.h ELSE p.h || coalesce(s.h, '') END) AS h
+    FROM path p JOIN (SELECT false AS top, * FROM parts UNION ALL SELECT true, * FROM tops) x ON x.top = p.top AND x.tree = p.tree AND x.level = p.level AND x.pos = p.pos AND x.n > 1
+    LEFT JOIN (SELECT false AS top, * FROM parts UNION ALL SELECT true, * FROM tops) s ON s.top = p.top AND s.tree = p.tree AND s.level = p.level AND s.pos = xor(p.pos, 1)
+    UNION ALL
+    SELECT p.r, true, '', 0, t.pos, p.proof, p.h FROM path p JOIN parts x ON NOT p.top AND x.tree = p.tree AND x.level = p.level AND x.n = 1 JOIN tops0 t ON t.part = p.tree)),
+ends AS (SELECT p.r, proof, p.h FROM path p JOIN tops x ON p.top AND x.level = p.level AND x.pos = p.pos AND x.n = 1)
+SELECT o.doc_id, o.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM o JOIN ends e USING (r) JOIN parts s ON s.tree = o.tree AND s.n = 1 JOIN tops t ON t.n = 1"""
+
+
+def _mined() -> str:
+    """Operator 12."""
+    c = collocations
+    runs = " UNION ALL ".join(f"SELECT lang, {m} AS m, array_to_string(w[i : i + {m - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(generate_series(1, len(w) - {m - 1})) AS i FROM p WHERE len(w) >= {m})" for m in range(1, c.DEPTH + 1))
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM ({runs}) GROUP BY lang, m, phrase HAVING count(*) >= {c.LEAST}),
+z AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+b AS (SELECT lang, part AS phrase, max(a) AS longer FROM (
+  SELECT lang, a, unnest([array_to_string(w[1 : m - 1], ' '), array_to_string(w[2 : m], ' ')]) AS part FROM z WHERE m > 2) GROUP BY lang, part),
+k AS (SELECT z.*, unnest(generate_series(1, m - 1)) AS k FROM z LEFT JOIN b USING (lang, phrase) WHERE m > 1 AND (longer IS NULL OR longer < a)),
+s AS (SELECT k.lang, k.phrase, k.a, k, x.a AS l, y.a AS r, t.n, (1000 * k.a::HUGEINT * t.n) // (x.a::HUGEINT * y.a) AS score FROM k JOIN t USING (lang)
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM u QUALIFY rank <= {c.SHOWN}"""
+
+
+def _hit() -> str:
+    """Operator 13."""
+    window = suffix_automaton.WINDOW
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH b AS (SELECT item_id, {words} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), {window}) AS k, array_to_string(w[i : i + least(len(w), {window}) - 1], ' ') AS run
+      FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - {window - 1}))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+e AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k),
+o AS (SELECT r, i, g.k, item_id FROM e JOIN g ON g.k = e.k AND g.run = array_to_string(e.w[i : i + e.k - 1], ' ')),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS place FROM o) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)"""
+
+
+ORACLES = {
+    "op2_mixing": _mixed(), "op4_line_templates": _cut(), "op10_line_frequency": _rated(), "op11_merkle_manifest": _audited(), "op12_collocations": _mined(),
+    "op13_decontamination": _hit(),
+}

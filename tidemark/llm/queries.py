@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, fm_quality, html_main, image_local, line_frequency, line_templates, mil_toxicity, mixing, packing, simhash
+from . import collocations, feistel, fm_quality, html_main, image_local, line_frequency, line_templates, merkle, mil_toxicity, mixing, packing, simhash, suffix_automaton
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -54,6 +54,18 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_cut")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(read(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,6 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_mixing, op3_site_style_tree, op4_line_templates, op5_fm_quality, op6_pseudonyms,
-        op7_packing, op8_toxicity, op9_image_copies, op10_line_frequency, pipeline,
+        op7_packing, op8_toxicity, op9_image_copies, op10_line_frequency, op11_merkle_manifest, op12_collocations,
+        op13_decontamination, pipeline,
     )
 }
