@@ -1,3 +1,3 @@
 """Queries over the supplied tables, each with SQL that gives the same rows."""
 
-from . import backtests, fundamentals, inference, matchups, queries, ratings, scalars, signals, splits  # noqa: F401 - importing registers the queries
+from . import backtests, calibration, fundamentals, inference, matchups, queries, ratings, scalars, signals, splits  # noqa: F401 - importing registers the queries
