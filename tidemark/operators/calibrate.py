@@ -171,8 +171,10 @@ def fitted(df: DataFrame, by: list[str], features: list[str], y: str = "y", link
         best = met(tried).groupBy(*by).agg(F.first("n").alias("n"), F.first("coef").alias("coef"), F.first("step").alias("step"), losses.alias("_l"), (F.sum(loss(F.col("coef"))) + F.first(cost(F.col("coef")))).alias("_was"))
         power = F.array_position("_l", F.array_min("_l")) - 1
         size_of = F.when(F.array_min("_l") <= F.col("_was"), F.pow(F.lit(0.5), power)).otherwise(0.0)
-        now = saved(best.withColumn("_f", size_of).select(*by, "n", moved(F.col("_f")).alias("coef"), F.array_max(F.transform("step", lambda v: F.abs(v))).alias("_step"), "_f"))
-        if (now.agg(F.max(F.col("_step") * F.col("_f"))).first()[0] or 0.0) < tolerance:
+        largest = F.array_max(F.transform("step", lambda v: F.abs(v))) * F.col("_f")
+        gained = (F.col("_was") - F.array_min("_l")) / F.col("n")
+        now = saved(best.withColumn("_f", size_of).select(*by, "n", moved(F.col("_f")).alias("coef"), ((largest < tolerance) | (gained < 1e-14)).alias("_done")))
+        if now.where("not _done").isEmpty():
             break
     last = met(named(now, F.col("n").alias("n"), "coef")).groupBy(*by).agg(F.first("n").alias("n"), F.first("coef").alias("coef"), (F.sum(loss(F.col("coef"))) / F.first("n")).alias("loss"))
     return saved(last)

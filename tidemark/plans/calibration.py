@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, evaluate, splits
+from ..operators import betting, calibrate, evaluate, experiment, splits
 from .queries import query
 from .views import PROBABILITIES, probabilities, r6
 
@@ -157,3 +157,129 @@ def y20_slopes_before(spark, sf):
     from .views import rounded
 
     return calibrate.gap_slope(_folds(spark, sf).where("part <> 'test'"), ["fold"], "gap", "y").select("fold", "n", rounded("slope", "slope", 8))
+
+
+_FEATURES = ["p", "fair"]
+
+
+def _solved(train: str, rows: str, ridge: float, name: str = "f") -> str:
+    """CTEs of a logistic regression on a, b of `train` by fold (Newton, ridge on slopes): x_, f (step, fold, w0, w1, w2); name is f."""
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    d0 = "(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2))"
+    d1 = "(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02))"
+    d2 = "(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02))"
+    return f"""{name}_x AS (SELECT fold, a, b, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM {train} GROUP BY ALL),
+ {name}(step, fold, w0, w1, w2) AS (SELECT 0, fold, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT fold FROM {name}_x) UNION ALL
+  SELECT step + 1, fold, w0 + {d0} / {det}, w1 + {d1} / {det}, w2 + {d2} / {det} FROM (
+   SELECT step, fold, w0, w1, w2, sum(g) AS g0, sum(g * a) - {ridge} * w1 AS g1, sum(g * b) - {ridge} * w2 AS g2, sum(h) AS h00, sum(h * a) AS h01, sum(h * b) AS h02, sum(h * a * a) + {ridge} AS h11, sum(h * a * b) AS h12, sum(h * b * b) + {ridge} AS h22
+   FROM (SELECT *, s - n * pr AS g, n * pr * (1 - pr) AS h FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS pr FROM {name} JOIN {name}_x USING (fold)) WHERE step < 12) GROUP BY step, fold, w0, w1, w2))"""
+
+
+_Z = """z AS (SELECT fold, part, id, y, (p - ma) / sa AS a, (fair - mb) / sb AS b FROM w JOIN (SELECT fold, avg(p) AS ma, stddev_samp(p) AS sa, avg(fair) AS mb, stddev_samp(fair) AS sb FROM w WHERE part = 'train' GROUP BY fold) USING (fold))"""
+_RAW = f"{_Z}, {_solved('(SELECT * FROM z WHERE part = ' + repr('train') + ')', 'z', 1.0)}, r AS (SELECT fold, part, id, y, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS raw FROM z JOIN f USING (fold) WHERE part <> 'train' AND step = 12)"
+_PLATT = """x AS (SELECT fold, raw AS x, 1::DOUBLE AS n, y::DOUBLE AS s FROM r WHERE part = 'cal'),
+ c(step, fold, a, b) AS (SELECT 0, fold, 0::DOUBLE, 0::DOUBLE FROM (SELECT fold FROM x GROUP BY fold HAVING count(*) >= 11) UNION ALL
+  SELECT step + 1, fold, a + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) FROM (
+   SELECT step, fold, a, b, sum(s - n * pr) AS g0, sum((s - n * pr) * x) - b AS g1, sum(n * pr * (1 - pr)) AS h00, sum(n * pr * (1 - pr) * x) AS h01, sum(n * pr * (1 - pr) * x * x) + 1 AS h11
+   FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS pr FROM c JOIN x USING (fold)) WHERE step < 12 GROUP BY step, fold, a, b)),
+ o AS (SELECT fold, id, y, raw, least(greatest(coalesce(1 / (1 + exp(-(a + b * raw))), raw), 0.03), 0.97) AS p FROM r LEFT JOIN (SELECT * FROM c WHERE step = 12) USING (fold) WHERE part = 'test')"""
+_CLIPPED = "o AS (SELECT fold, id, y, raw, least(greatest(raw, 0.03), 0.97) AS p FROM r WHERE part = 'test')"
+_SCORES = "round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(pow(p - y, 2)), 6) AS brier"
+
+
+def _model_rows(spark, sf):
+    return probabilities(spark, sf).select("id", "yr", "d", "y", "p", "fair")
+
+
+def _walk(spark, sf):
+    return splits.walk_forward(_model_rows(spark, sf), "yr", "d", "id", 3).withColumnRenamed("eval", "fold")
+
+
+_FULL = _WF.replace("floor(p * 50) / 50 AS p", "p")
+
+
+@query(f"WITH RECURSIVE w AS {_FULL}, {_RAW}, {_PLATT} SELECT fold, id, round(raw, 6) AS raw, round(p, 6) AS p FROM o")
+def g13_folds(spark, sf):
+    """Every test row of a walk forward by year: scaled, fitted and calibrated on earlier rows, the order of days guarded."""
+    got = experiment.run(_walk(spark, sf), _FEATURES, "y", "id", method="platt", day="d")
+    return got.select("fold", "id", r6("raw", "raw"), r6("p", "p"))
+
+
+@query(f"WITH RECURSIVE w AS {_FULL}, {_RAW}, {_PLATT} SELECT fold, count(*) AS n, {_SCORES} FROM o GROUP BY GROUPING SETS ((fold), ())")
+def g13_y41_pooled_scores(spark, sf):
+    """Scores of each fold and of all test rows together: 80 per cent of the earlier rows train, the newest 20 calibrate."""
+    got = experiment.summary(experiment.run(_walk(spark, sf), _FEATURES, "y", "id", method="platt", day="d"))
+    return got.select("fold", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+_SEASONS = "(SELECT f.yr AS fold, CASE WHEN o.yr = f.yr THEN 'test' {cal} ELSE 'train' END AS part, o.* FROM {p} o JOIN (SELECT DISTINCT yr, yr - (SELECT min(yr) FROM {p}) AS since FROM {p}) f ON {used})"
+_LOO = _SEASONS.format(p=PROBABILITIES, cal="", used="true")
+
+
+@query(f"WITH RECURSIVE w AS {_LOO}, {_RAW}, {_CLIPPED} SELECT fold, count(*) AS n, {_SCORES} FROM o GROUP BY GROUPING SETS ((fold), ())")
+def v16_leave_one_season_out(spark, sf):
+    rows = experiment.season_folds(_model_rows(spark, sf), "yr", "leave_one_out")
+    got = experiment.summary(experiment.run(rows, _FEATURES, "y", "id", method=None))
+    return got.select("fold", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+_PREVIOUS = _SEASONS.format(p=PROBABILITIES, cal="WHEN o.yr = f.yr - 1 THEN 'cal'", used="o.yr <= f.yr AND since >= 2")
+
+
+@query(f"WITH RECURSIVE w AS {_PREVIOUS}, {_RAW}, {_PLATT} SELECT fold, count(*) AS n, {_SCORES} FROM o GROUP BY GROUPING SETS ((fold), ())")
+def y32_one_season_backtests(spark, sf):
+    """Seasons before the last train, the last one calibrates, the next is tested."""
+    rows = experiment.season_folds(_model_rows(spark, sf), "yr", "previous")
+    got = experiment.summary(experiment.run(rows, _FEATURES, "y", "id", method="platt", day="d"))
+    return got.select("fold", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+_WINDOW = _SEASONS.format(p="{p}", cal="", used="o.yr <= f.yr AND o.yr >= f.yr - 2 AND since >= 2")
+_SHUFFLED = f"(SELECT a.id, a.yr, a.d, a.p, a.fair, b.y FROM (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY id) AS i FROM {PROBABILITIES}) a JOIN (SELECT yr, y, row_number() OVER (PARTITION BY yr ORDER BY md5('7|1|' || id)) AS i FROM {PROBABILITIES}) b USING (yr, i))"
+
+
+@query(f"WITH RECURSIVE w AS {_WINDOW.format(p=PROBABILITIES)}, {_RAW}, {_CLIPPED} SELECT fold, count(*) AS n, {_SCORES} FROM o GROUP BY GROUPING SETS ((fold), ())")
+def y33_fixed_windows(spark, sf):
+    """Only the last two seasons train."""
+    rows = experiment.season_folds(_model_rows(spark, sf), "yr", "expanding", width=2)
+    got = experiment.summary(experiment.run(rows, _FEATURES, "y", "id", method=None, day="d"))
+    return got.select("fold", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+@query(f"WITH RECURSIVE w AS {_WINDOW.format(p=_SHUFFLED)}, {_RAW}, {_CLIPPED} SELECT fold, count(*) AS n, {_SCORES} FROM o GROUP BY GROUPING SETS ((fold), ())")
+def y33_shuffled_labels(spark, sf):
+    """The same with labels dealt anew inside each season: what a model finds where there is nothing."""
+    rows = betting.shuffled(_model_rows(spark, sf), "y", ["yr"], "id", 1).drop("perm")
+    got = experiment.summary(experiment.run(experiment.season_folds(rows, "yr", "expanding", width=2), _FEATURES, "y", "id", method=None, day="d"))
+    return got.select("fold", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+_STACK = f"z AS (SELECT e.yr AS fold, CASE WHEN o.yr = e.yr THEN 'test' ELSE 'train' END AS part, id, y, p AS a, fair AS b FROM {PROBABILITIES} o JOIN (SELECT DISTINCT yr FROM {PROBABILITIES}) e ON o.yr <= e.yr AND e.yr > (SELECT min(yr) FROM {PROBABILITIES}))"
+
+
+@query(f"WITH RECURSIVE {_STACK}, {_solved('(SELECT * FROM z WHERE part = ' + repr('train') + ')', 'z', 1.0)} SELECT fold, id, round(least(greatest(1 / (1 + exp(-(w0 + w1 * a + w2 * b))), 0.03), 0.97), 6) AS p FROM z JOIN f USING (fold) WHERE part = 'test' AND step = 12")
+def v14_stacked(spark, sf):
+    """Two probabilities as features of a logistic mix that is fitted on the folds before."""
+    p = probabilities(spark, sf).select(F.col("yr").alias("fold"), "id", "y", "p", "fair")
+    return experiment.stacked(p, "id", ["p", "fair"]).select("fold", "id", r6("p", "p"))
+
+
+@query(f"""WITH s AS (SELECT id, yr, [p, fair, (p + fair) / 2, p * p] AS m FROM {PROBABILITIES}), t AS (SELECT *, list_avg(m) AS mean, sqrt(list_sum([pow(v - list_avg(m), 2) FOR v IN m]) / 4) AS std FROM s),
+ c AS (SELECT quantile_cont(std, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM t WHERE yr < 1998) SELECT id, round(mean, 6) AS mean, round(std, 6) AS std, CAST(len(list_filter(cuts, lambda v: v <= std)) AS INT) AS quintile FROM t, c WHERE yr >= 1998""")
+def v15_four_models(spark, sf):
+    """Mean and spread of four models' probabilities, and the quintile of the spread by cuts of the training years."""
+    m = probabilities(spark, sf).select("id", "yr", "p", "fair", ((F.col("p") + F.col("fair")) / 2).alias("mix"), (F.col("p") * F.col("p")).alias("square"))
+    got = experiment.agreement(m.where("yr >= 1998"), ["p", "fair", "mix", "square"], m.where("yr < 1998"))
+    return got.select("id", r6("mean", "mean"), r6("std", "std"), "quintile")
+
+
+@query()
+def v11_boosted_folds(spark, sf):
+    """Boosted trees stopped by the calibration rows, calibrated by isotonic steps; importances come with the folds."""
+    return experiment.summary(experiment.run(_walk(spark, sf), _FEATURES, "y", "id", experiment.boosted(maxIter=20), steps=[experiment.Step("mean", tuple(_FEATURES))], day="d"))
+
+
+@query()
+def x20_elastic_folds(spark, sf):
+    """Elastic net: penalised sums of squares and absolute values."""
+    return experiment.summary(experiment.run(_walk(spark, sf), _FEATURES, "y", "id", experiment.elastic(), day="d"))
