@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import evaluate, fundamentals, history, inference, portfolio, ratings, splits
-from tidemark.plans.ratings import rated_games
+from tidemark.operators import evaluate, fundamentals, history, inference, portfolio, splits
 
 SMALL = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -72,32 +71,6 @@ def test_class_cap_keeps_the_sum_and_leaves_others_alone(spark):
     assert math.isclose(sum(v for (d, _), v in got.items() if d == 1), 0.9) and got[2, "a"] == 0.1 and math.isclose(got[1, "a"], 0.3 * 5 / 7 * 0.9 / 0.5)
 
 
-@pytest.mark.parametrize("config", [ratings.Config(), ratings.Config(k=4, home=24, kept=0.6, margin="signed"), ratings.Config(margin=None, late=1.0, idle=100, faded=0.2)])
-def test_ratings_are_those_of_a_plain_loop(spark, config):
-    games = rated_games(spark, SMALL)
-    got = {r.seq: (r.rating_a, r.rating_b) for r in ratings.rate(games, ["league"], config).collect()}
-    now, season, seen = {}, {}, {}
-    for g in sorted(games.collect(), key=lambda g: (g.league, g.seq)):
-        if season.get(g.league, g.season) < g.season:
-            for key in [k for k in now if k[0] == g.league]:
-                now[key] = 1500 + (now[key] - 1500) * config.kept ** (g.season - season[g.league])
-        season[g.league] = g.season
-        a, b = (g.league, g.side_a), (g.league, g.side_b)
-        for s in (a, b):
-            if config.idle and s in seen and g.day - seen[s] > config.idle:
-                now[s] = 1500 + (now.get(s, 1500) - 1500) * (1 - config.faded)
-            seen[s] = g.day
-        ra, rb, edge = now.get(a, 1500.0), now.get(b, 1500.0), 0 if g.neutral else config.home
-        assert np.allclose(got[g.seq], (ra, rb), rtol=1e-12)
-        k, margin = config.k * (1 + config.late * g.share), g.score_a - g.score_b
-        if config.margin == "log" and margin:
-            k *= math.log(abs(margin) + 1) * 2.2 / (2.2 + 0.001 * abs(ra - rb))
-        if config.margin == "signed" and margin:
-            k *= math.log(abs(margin) + 1) * 2.2 / (2.2 + 0.001 * (ra + edge - rb) * (1 if margin > 0 else -1))
-        change = k * ((margin > 0) + 0.5 * (margin == 0) - 1 / (1 + 10 ** (-(ra + edge - rb) / 400)))
-        now[a], now[b] = ra + change, rb - change
-
-
 def test_block_sums_are_sums_of_the_drawn_rows(spark):
     rets = np.random.default_rng(2).normal(0, 0.01, 50)
     series = inference.positions(_series(spark, rets), ["ticker"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import allocate, history
 from ..sources import files
+from ..sources.saved import shared_folder
 from ..streaming import batches
 from .queries import query
 from .views import EVENTS, PRICES, RETURNS, events, prices, r6, table
@@ -111,22 +111,21 @@ def s8_newest_snapshot(spark, sf):
     return files.newest_snapshot(events(spark, sf).select("event_id", "user_id", "d"), "d")
 
 
-def _run(spark, rows):
-    """A stream worked off into the shared checkpoint folder; a folder of our own only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+def run_stream(spark, rows):
+    """A stream worked off into the shared checkpoint folder."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return batches.run_once(rows, f"{base}/out", f"{base}/state")
 
 
 @query("SELECT DISTINCT event_id, user_id, value FROM events")
 def q1_stream_without_repeats(spark, sf):
     rows = batches.stream_of(spark, sf, "events.parquet").select("event_id", "ts", "user_id", "value")
-    return _run(spark, batches.without_repeats(rows, ["event_id"], "ts")).select("event_id", "user_id", "value")
+    return run_stream(spark, batches.without_repeats(rows, ["event_id"], "ts")).select("event_id", "user_id", "value")
 
 
 @query("""SELECT day, event_type, n, total FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2),
  (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events) WHERE day + INTERVAL 1 DAY <= mark""")
 def q2_stream_daily_totals(spark, sf):
     rows = batches.stream_of(spark, sf, "events.parquet").select("ts", "event_type", "value")
-    got = _run(spark, batches.daily_totals(rows, "ts", "event_type", "value"))
+    got = run_stream(spark, batches.daily_totals(rows, "ts", "event_type", "value"))
     return got.select(F.to_date("day").alias("day"), "event_type", "n", r6("total", "total"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, ratings
+from ..operators import calibrate, evaluate, ratings
+from ..sources.saved import saved
 from .queries import query
-from .views import games, r6
+from .views import GAMES_TEXT, games, r6
 
 
-def rated_games(spark, sf):
+def rated_games(spark, sf, found=None):
     """Games of leagues of a few hundred sides, in order, with what the rating rules look at."""
     day = F.datediff("d", F.lit("1990-01-01").cast("date"))
     cols = [F.floor(F.col("home") / 200).cast("int").alias("league"), (day.cast("long") * 10_000_000 + F.col("game_id")).alias("seq"), "season", F.col("home").alias("side_a"), F.col("away").alias("side_b"), F.col("hs").alias("score_a"), F.col("vs").alias("score_b"), "neutral"]
-    return games(spark, sf).select(*cols, (F.dayofyear("d") / 366).alias("share"), day.alias("day"))
+    return (games(spark, sf) if found is None else found).select(*cols, (F.dayofyear("d") / 366).alias("share"), day.alias("day"))
 
 
 def _shown(df):
@@ -34,42 +36,100 @@ def r2_r3_seasons(spark, sf):
 
 @query()
 def r4_signed_margin(spark, sf):
-    return _shown(ratings.rate(rated_games(spark, sf).withColumn("neutral", F.lit(False)), ["league"], ratings.Config(k=4.0, home=24.0, kept=0.67, margin="signed")))
+    return _shown(ratings.rate(rated_games(spark, sf).withColumn("neutral", F.lit(False)), ["league"], ratings.Config(k=6.0, home=24.0, kept=0.67, margin="signed")))
 
 
 @query()
-def r5_idle_decay(spark, sf):
-    return _shown(ratings.rate(rated_games(spark, sf), ["league"], ratings.Config(k=32.0, home=0.0, kept=1.0, margin=None, idle=180, faded=0.1)))
+def r5_fading_and_classes(spark, sf):
+    """Sides fade by their idle days, early games and games that finished early count more; ratings of all games and of each class alone."""
+    rows = rated_games(spark, sf).withColumns({"cls": F.concat(F.lit("c"), F.col("seq") % 5), "finished": F.col("score_a") + F.col("score_b") > 220})
+    got = ratings.rate(rows, ["league"], ratings.Config(k=50.0, home=0.0, kept=1.0, margin=None, decay=0.15, change=0.1, early=(5, 1.5), finish=1.2))
+    return got.select("league", "seq", "cls", *[r6(c, c) for c in ratings.OUT])
+
+
+_LATE = ratings.Config(late=1.0)
+
+
+def _seasons(spark, sf):
+    """Games before day 134 of a year are the regular season and count more as it goes by."""
+    day = F.dayofyear(F.date_add(F.lit("1990-01-01").cast("date"), F.col("day")))
+    return rated_games(spark, sf).withColumn("share", F.when(day < 134, day / 134).otherwise(0.0))
 
 
 @query()
 def r6_late_games(spark, sf):
-    return _shown(ratings.rate(rated_games(spark, sf), ["league"], ratings.Config(late=1.0)))
+    return _shown(ratings.rate(_seasons(spark, sf), ["league"], _LATE))
+
+
+@query()
+def r6_before_the_finals(spark, sf):
+    """Each side's rating after the regular season, for every season from its first."""
+    got = ratings.snapshots(ratings.rate(_seasons(spark, sf), ["league"], _LATE), ["league"], "share > 0", _LATE)
+    return got.select("league", "season", "side", r6("rating", "rating"))
 
 
 @query()
 def r7_tiers(spark, sf):
-    """The step of a game by its tier, draws, yearly pull, frozen at an end date."""
+    """The step of a game by its tier, draws at full step, yearly pull, frozen at an end date."""
     tier = F.when(F.col("seq") % 10 < 2, 60.0).when(F.col("seq") % 10 < 5, 40.0).otherwise(20.0)
     frozen = rated_games(spark, sf).where(F.col("season") < 2000).withColumn("k", tier)
-    return _shown(ratings.rate(frozen, ["league"], ratings.Config(kept=0.9)))
+    return _shown(ratings.rate(frozen, ["league"], ratings.Config(kept=0.9, yearly=True, even_draws=True)))
+
+
+_GRID = {f"k{k}-h{h}-m{m}": ratings.Config(k=float(k), home=float(h), kept=m) for k in (10, 20, 40) for h in (0, 50, 100) for m in (0.6, 0.75, 0.9)}
 
 
-_GRID = {f"k{k}-h{h}": ratings.Config(k=float(k), home=float(h)) for k in (10, 20, 40) for h in (0, 100)}
+def _graded(spark, sf):
+    """Every configuration's games with a gap of ratings and an outcome of three, draws among them."""
+    rated = ratings.rate(rated_games(spark, sf), ["league"], _GRID)
+    home = F.element_at(F.create_map(*[F.lit(x) for n, c in _GRID.items() for x in (n, c.home)]), F.col("config"))
+    gap = F.col("rating_a") - F.col("rating_b") + F.when(F.col("neutral"), 0.0).otherwise(home)
+    won = F.when(F.col("score_a") > F.col("score_b"), 0).when(F.col("score_a") < F.col("score_b"), 2).otherwise(1)
+    return rated.select("config", "season", gap.alias("gap"), "expected", won.alias("c"), (won == 1).cast("int").alias("drawn"))
+
+
+def _three(rows, curve):
+    """(config, season, c, q): three-way probabilities with the configuration's draw curve."""
+    met = rows.join(F.broadcast(curve.select("config", "base", "spread")), "config")  # a row a configuration
+    draw = F.col("base") * F.when(F.col("spread").isNull(), 1.0).otherwise(F.exp(-F.pow(F.col("gap") / F.col("spread"), F.lit(2.0))))
+    return met.select("config", "season", "c", calibrate.renormalised(F.array(F.col("expected") * (1 - draw), draw, (1 - F.col("expected")) * (1 - draw)), 0.02, 0.98).alias("q"))
+
+
+@query()
+def r8_grid(spark, sf):
+    """27 configurations: the draw curve is fitted on seasons before 1999, the score is of the seasons from it on."""
+    rows = saved(_graded(spark, sf))
+    curve = calibrate.draw_curve(rows.where("season < 1999"), ["config"], "gap", "drawn")
+    got = evaluate.class_scores(_three(rows.where("season >= 1999"), curve), ["config"])
+    return got.select("config", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"))
 
 
 @query()
-def r8_r9_grid(spark, sf):
-    """Every configuration's scores by season, from the second on: (config, season, n, log_loss, accuracy, brier)."""
-    rated = ratings.rate(rated_games(spark, sf), ["league"], _GRID).where("score_a <> score_b")
-    scored = rated.select("config", "season", (F.col("score_a") > F.col("score_b")).cast("int").alias("y"), F.col("expected").alias("p"))
-    first = scored.agg(F.min("season").alias("first"))
-    later = scored.crossJoin(F.broadcast(first)).where("season > first")  # one row
-    got = evaluate.binary_scores(later, ["config", "season"])
-    return got.select("config", "season", "n", *[r6(c, c) for c in ("log_loss", "accuracy", "brier")])
+def r9_walk_forward(spark, sf):
+    """For each season from the fourth on, the configuration that was best on all seasons before it, and what it then scores."""
+    rows = saved(_graded(spark, sf))
+    first = rows.agg(F.min("season")).first()[0] + 1
+    curve = calibrate.draw_curve(rows.where(F.col("season") <= first), ["config"], "gap", "drawn")
+    by = evaluate.class_scores(_three(rows.where(F.col("season") > first), curve), ["config", "season"])
+    w = W.partitionBy("config").orderBy("season").rowsBetween(W.unboundedPreceding, -1)
+    past = by.withColumn("past", F.sum(F.col("log_loss") * F.col("n")).over(w) / F.sum("n").over(w)).where("past is not null")
+    best = past.withColumn("_at", F.row_number().over(W.partitionBy("season").orderBy("past", "config"))).where("_at = 1")  # a row a configuration
+    return best.select("season", "config", "n", r6("past", "past"), r6("log_loss", "log_loss"))
 
 
 @query()
 def r10_latest(spark, sf):
+    """Current ratings, the highest first."""
     got = ratings.latest(ratings.rate(rated_games(spark, sf), ["league"]), ["league"])
     return got.select("league", "side", r6("rating", "rating"), "games")
+
+
+@query()
+def q3_live_ratings(spark, sf):
+    """The ratings of r1's rule kept live on a file stream of the games."""
+    from ..streaming import batches, live
+    from .backtests import run_stream
+
+    found = spark.sql(GAMES_TEXT, orders=batches.stream_of(spark, sf, "orders.parquet"))
+    rows = rated_games(spark, sf, found).where("league is not null")
+    return _shown(run_stream(spark, live.live_ratings(rows, ["league"])).where("not late"))
