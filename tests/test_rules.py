@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import evaluate, fundamentals, history, inference, portfolio, splits
+from tidemark.operators import betting, evaluate, fundamentals, history, inference, portfolio, splits
 
 SMALL = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -100,3 +100,59 @@ def test_a_guard_raises_with_examples(spark):
     late = spark.createDataFrame([(DAY, DAY)], "released date, decided date")
     with pytest.raises(ValueError, match="too late"):
         splits.raise_if_any(splits.released_late(late, "released", "decided"), "too late")
+
+
+def _events(spark, *rows):
+    return spark.createDataFrame([("x", dt.date.fromisoformat(d), kind, "") for d, kind in rows], "ticker string, d date, kind string, reason string")
+
+
+@pytest.mark.parametrize(
+    "rows, seed, want",
+    [
+        ([("2001-01-01", "add"), ("2005-01-01", "add")], None, [("2001-01-01", "2005-01-01"), ("2005-01-01", None)]),
+        ([("2001-01-01", "add"), ("2001-06-01", "remove"), ("2001-06-20", "add")], None, [("2001-01-01", "2001-06-01"), ("2001-06-20", None)]),
+        ([("2001-01-01", "add"), ("2001-01-20", "add"), ("2001-02-10", "add")], None, [("2001-01-01", "2001-02-10"), ("2001-02-10", None)]),
+        ([("2023-09-17", "add")], "2023-09-18", [("2023-09-17", None)]),
+        ([("2010-06-01", "add"), ("2013-05-01", "remove")], "2024-01-01", [("2024-01-01", None)]),
+        ([("2010-06-01", "remove"), ("2015-03-01", "add")], "2005-01-01", [("2005-01-01", "2010-06-01"), ("2015-03-01", None)]),
+        ([("2005-01-01", "remove")], "2005-01-01", [("2005-01-01", None)]),
+    ],
+)
+def test_membership_from_events(spark, rows, seed, want):
+    seeds = spark.createDataFrame([("x", dt.date.fromisoformat(seed))], "ticker string, start_date date") if seed else None
+    got = splits.consolidated(_events(spark, *rows), seeds).collect()
+    assert sorted((str(r.start_date), None if r.end_date is None else str(r.end_date)) for r in got) == want
+
+
+def test_orphans_and_reasons(spark):
+    seeds = spark.createDataFrame([("x", DAY)], "ticker string, start_date date")
+    log = splits.membership(_events(spark, ("2010-06-01", "add"), ("2013-05-01", "remove")), seeds)
+    assert {(str(r.start_date), r.what) for r in log.collect()} == {("2010-06-01", "orphan"), ("2013-05-01", "orphan"), ("2024-01-01", "interval")}
+    gone = spark.createDataFrame([("y", DAY, "remove", "Filed for bankruptcy"), ("z", DAY, "remove", "Acquired"), ("x", DAY, "remove", "")], "ticker string, d date, kind string, reason string")
+    assert {(r.ticker, r.delist_return, r.category) for r in splits.delistings(gone, seeds).collect()} == {("y", -0.99, "bankruptcy"), ("z", 0.0, "acquisition")}
+
+
+def test_bets_of_a_day_follow_each_other(spark):
+    bets = spark.createDataFrame([(1, DAY, 0.05, 0.05), (1, DAY, 0.05, -0.05), (1, DAY, 0.05, 0.05)], "yr int, d date, stake double, profit double")
+    assert betting.daily_path(bets, ["yr"], "d").first().roll == pytest.approx(1.05 * 0.95 * 1.05)
+
+
+def test_delisted_tickers_may_be_text(spark):
+    days = [dt.date(2020, 1, k) for k in (9, 10, 13, 14)]
+    prices = spark.createDataFrame([(t, d, 100.0 + k) for t in ("GOOD", "DEAD") for k, d in enumerate(days)], "ticker string, d date, px double")
+    gone = spark.createDataFrame([("DEAD", dt.date(2020, 1, 11), -0.8)], "ticker string, delist_date date, delist_return double")
+    got = {(r.ticker, r.d): r.px for r in fundamentals.delisted_prices(prices, gone).collect()}
+    assert len(got) == 8 and got["GOOD", days[3]] == 103.0
+    assert got["DEAD", days[0]] == 100.0 and got["DEAD", days[1]] == pytest.approx(20.0) and got["DEAD", days[2]] is None
+
+
+def test_a_total_loss_is_no_growth(spark):
+    got = inference.growth_interval(_series(spark, [0.01] * 59 + [-1.0]), ["ticker"], reps=200).first()
+    assert got["diff"] == -1.0 and got.diff_low == -1.0 and got.verdict != "STRONG_EDGE"
+
+
+def test_bad_cells_are_null(spark):
+    from tidemark.sources import files
+
+    got = files.percent_block(spark.createDataFrame([("x\n20240102, n/a, 1.0\n",)], "value string"), ["a", "b"]).first()
+    assert got.a is None and got.b == 0.01

@@ -52,25 +52,6 @@ def momentum_rotation(df: DataFrame, lookback: int, k: int) -> DataFrame:
     return best.where(F.col("_k") <= k).groupBy("d").agg(F.avg("ret").alias("ret"))
 
 
-def held_weights(rets: DataFrame, weights: DataFrame) -> DataFrame:
-    """Returns with the weight held: that of the newest rebalance strictly before the day, so a decision acts the day after.
-
-    `weights` has (d, ticker, w); a ticker left out of a rebalance weighs 0 from then on. The rebalance days are
-    marked in the series and carried along by a window, so there is no range join.
-    """
-    days = weights.select("d").distinct().withColumn("_rebal", F.lit(True))
-    marked = rets.join(days, "d", "left").join(weights.select("d", "ticker", "w"), ["d", "ticker"], "left")
-    set_to = F.when(F.col("_rebal"), F.coalesce("w", F.lit(0.0)))
-    before = _series().rowsBetween(W.unboundedPreceding, -1)
-    return marked.withColumn("w", F.coalesce(F.last(set_to, ignorenulls=True).over(before), F.lit(0.0))).drop("_rebal")
-
-
-def backtest(rets: DataFrame, weights: DataFrame, bill: float = 0.0) -> DataFrame:
-    """(d, ret, invested): the portfolio's daily return; a null return counts as cash at the bill rate."""
-    held = held_weights(rets, weights)
-    return held.groupBy("d").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(bill))).alias("ret"), F.sum("w").alias("invested"))
-
-
 def rebalance_costs(weights: DataFrame, bps: Column) -> DataFrame:
     """(d, cost): the sum of absolute weight changes times each name's rate in basis points; an absent name weighs 0.
 

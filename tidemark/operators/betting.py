@@ -34,10 +34,12 @@ def scaled(bets: DataFrame, bankroll: float) -> DataFrame:
 def daily_path(bets: DataFrame, by: list[str], day: str, cap: float = 0.20, stop: float = 0.5) -> DataFrame:
     """(by, day, bets, staked, ret, roll, dd, stopped): a bankroll that stakes `stake` on each bet of a day, together at most `cap` of it.
 
-    A day opening below `stop` of the start bets nothing, nor does any later one. Growth is a product over days, so the whole path is two windows.
+    The bets of a day follow each other: each stakes its share of what the ones before have left. A day opening below `stop` of the start bets nothing, nor
+    does any later one. Growth is a product over bets and days, so the whole path is a few windows.
     """
-    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(cap), F.sum("stake")), F.lit(1.0)))
-    days = bets.groupBy(*by, day).agg(F.count("*").alias("bets"), (F.sum("stake") * scale).alias("staked"), (F.sum("profit") * scale).alias("ret"))
+    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(cap), F.sum("stake").over(W.partitionBy(*by, day))), F.lit(1.0)))
+    scaled = bets.withColumn("_scale", scale)
+    days = scaled.groupBy(*by, day).agg(F.count("*").alias("bets"), F.sum(F.col("stake") * F.col("_scale")).alias("staked"), (compounded(F.col("profit") * F.col("_scale")) - 1).alias("ret"))
     o = W.partitionBy(*by).orderBy(day)
     days = days.withColumn("_open", F.coalesce(compounded(F.col("ret"), o.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
     days = days.withColumn("stopped", F.max((F.col("_open") < stop).cast("int")).over(o.rowsBetween(W.unboundedPreceding, 0)) == 1)

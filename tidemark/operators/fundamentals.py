@@ -181,11 +181,12 @@ def delisted_prices(prices: DataFrame, delistings: DataFrame) -> DataFrame:
 
     The calendar is that of all prices; a ticker without an earlier price keeps its own. Rows are kept, prices after the end are null.
     """
+    kind = prices.schema["ticker"].dataType.simpleString()
     days = prices.select("d").distinct().withColumn("_k", F.lit(0))
     ends = delistings.select("ticker", F.col("delist_date").alias("_dd"), F.col("delist_return").alias("_dr"), F.lit(0).alias("_k"))
     # one window over the calendar and the few delistings
-    both = days.select("_k", F.col("d").alias("_t"), F.lit(0).alias("_o"), "d", F.lit(None).cast("struct<ticker:long,_dr:double>").alias("_row"))
-    both = both.unionByName(ends.select("_k", F.col("_dd").alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast("date").alias("d"), F.struct(F.col("ticker").cast("long").alias("ticker"), F.col("_dr").cast("double").alias("_dr")).alias("_row")))
+    both = days.select("_k", F.col("d").alias("_t"), F.lit(0).alias("_o"), "d", F.lit(None).cast(f"struct<ticker:{kind},_dr:double>").alias("_row"))
+    both = both.unionByName(ends.select("_k", F.col("_dd").alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast("date").alias("d"), F.struct(F.col("ticker").cast(kind).alias("ticker"), F.col("_dr").cast("double").alias("_dr")).alias("_row")))
     snapped = both.withColumn("_end", F.last("d", ignorenulls=True).over(W.partitionBy("_k").orderBy("_t", "_o").rowsBetween(W.unboundedPreceding, 0))).where("_row is not null and _end is not null").select("_row.ticker", "_row._dr", "_end")
     gone = prices.select("ticker").distinct().join(F.broadcast(snapped), "ticker")
     grid = prices.join(gone, "ticker", "left")

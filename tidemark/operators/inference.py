@@ -133,12 +133,15 @@ def sharpe_interval(pairs: DataFrame, by: list[str], confidence: float = 0.90, p
 
 
 def growth_interval(pairs: DataFrame, by: list[str], confidence: float = 0.90, **how) -> DataFrame:
-    """Paired resamples' interval of the difference of yearly growth, with the point and a verdict."""
-    rows = positions(pairs.select(*by, "d", F.log1p("ret").alias("s"), F.log1p("bench").alias("b")), by)
-    reps = block_sums(rows, by, ["s", "b"], **how)
-    yearly = lambda c: F.expm1(F.col(c) / F.col("n") * YEAR)
+    """Paired resamples' interval of the difference of yearly growth, with the point and a verdict. A series with a total loss among its drawn days has grown by -1."""
+    log = lambda c: F.when(F.col(c) > -1, F.log1p(c)).otherwise(0.0)
+    lost = lambda c: (F.col(c) <= -1).cast("double")
+    rows = positions(pairs.select(*by, "d", log("ret").alias("s"), log("bench").alias("b"), lost("ret").alias("zs"), lost("bench").alias("zb")), by)
+    reps = block_sums(rows, by, ["s", "b", "zs", "zb"], **how)
+    yearly = lambda c: F.when(F.col(f"z{c}") > 0.5, -1.0).otherwise(F.expm1(F.col(c) / F.col("n") * YEAR))
     reps = reps.select(*by, (yearly("s") - yearly("b")).alias("diff"))
-    point = _observed(pairs, by, diff=F.expm1(F.avg(F.log1p("ret")) * YEAR) - F.expm1(F.avg(F.log1p("bench")) * YEAR))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("s", "b", "zs", "zb")])
+    point = sums.select(*by, "n", (yearly("s") - yearly("b")).alias("diff"))
     return point.join(reps.groupBy(*by).agg(*_interval(reps, by, "diff", confidence)), by).withColumn("verdict", _verdict(F.col("diff_low"), F.col("diff_high"), 0.02))
 
 
@@ -187,7 +190,7 @@ def _field(name: str):
     return lambda row: row[name]
 
 
-def metric_interval(rets: DataFrame, by: list[str], metric, reps: int, confidence: float = 0.90, **how) -> DataFrame:
+def metric_interval(rets: DataFrame, by: list[str], metric, reps: int = REPS, confidence: float = 0.95, **how) -> DataFrame:
     """(by, low, high) of any metric(np.ndarray) -> float over resamples of ret."""
 
     drawn = resamples(rets, by, ["ret"], reps, **how)

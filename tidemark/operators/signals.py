@@ -23,10 +23,12 @@ def full(value: str, w: int, figure) -> Column:
 
 
 def calm(df: DataFrame, short: int = 63, long: int = 252, times: float = 1.5, out: str = "calm") -> DataFrame:
-    """1 where short-term deviation was below so many times its own long-term median on the row before."""
-    df = df.withColumn("_s", full("ret", short, F.stddev_samp("ret")))
-    middle = F.when(F.count("_s").over(series().rowsBetween(1 - long, 0)) == long, F.percentile("_s", F.lit(0.5)).over(series().rowsBetween(1 - long, 0)))
-    return lagged_flag(df.withColumn("_m", middle), F.col("_s") < times * F.col("_m"), out).drop("_s", "_m")
+    """1 where short-term deviation was below so many times its own long-term median on the row before, and on a series' first row; both need half their rows."""
+    half = lambda value, w, figure: F.when(F.count(value).over(series().rowsBetween(1 - w, 0)) >= w // 2, figure.over(series().rowsBetween(1 - w, 0)))
+    df = df.withColumn("_s", half("ret", short, F.stddev_samp("ret")))
+    df = df.withColumn("_m", half("_s", long, F.percentile("_s", F.lit(0.5))))
+    df = df.withColumn("_f", F.coalesce((F.col("_s") < times * F.col("_m")).cast("int"), F.lit(0)))
+    return df.withColumn(out, F.coalesce(F.lag("_f").over(series()), F.lit(1))).drop("_s", "_m", "_f")
 
 
 def spurious(df: DataFrame, most: float = 1.0) -> Column:

@@ -5,10 +5,14 @@ A guard returns the violations as rows (or one summary row); `raise_if_any` is t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rules import leaving_reason
 from .evaluate import quantiles
 
 
@@ -122,22 +126,57 @@ def overlapping(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("fault", fault).where("fault is not null").select("ticker", "start_date", "end_date", "fault")
 
 
-def consolidated(events: DataFrame, gap: int = 30) -> DataFrame:
-    """(ticker, start_date, end_date) from additions and removals (ticker, d, kind): an interval runs from an addition to the next removal.
-
-    Further additions inside it and removals outside are orphans and change nothing; intervals at most `gap` days apart are one. All by windows.
+def _intervals(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Membership of one ticker after the other; what is kept is the start of its open interval."""
+    now, start = None, None
+    for batch in batches:
+        out = []
+        for ticker, d, kind in zip(batch["ticker"], batch["d"], batch["kind"]):
+            if ticker != now:
+                if start is not None:
+                    out.append((now, "interval", start, None))
+                now, start = ticker, None
+            gap = None if start is None else (d - start).days
+            if kind == "seed":
+                start = d
+            elif kind == "remove" and gap is not None and gap > 0:
+                out.append((ticker, "interval", start, d))
+                start = None
+            elif kind == "remove" or gap is not None and gap < -window:
+                out.append((ticker, "orphan", d, None))
+            elif gap is not None and abs(gap) <= window:
+                start = min(start, d)
+            else:
+                if gap is not None:
+                    out.append((ticker, "interval", start, d))
+                start = d
+        yield pd.DataFrame(out, columns=["ticker", "what", "start_date", "end_date"])
+    if start is not None:
+        yield pd.DataFrame([(now, "interval", start, None)], columns=["ticker", "what", "start_date", "end_date"])
+
+
+def membership(events: DataFrame, seeds: DataFrame | None = None, window: int = 30) -> DataFrame:
+    """(ticker, what, start_date, end_date) from additions and removals (ticker, d, kind): intervals, an open end being null, and orphan events.
+
+    seeds (ticker, start_date): current members, whose interval is open beforehand. A removal ends the open interval if that began before it. An addition at most
+    `window` days from the open interval's start is the same one, told twice, and the earlier day counts; a later one ends that interval and opens
+    another; an earlier one is an orphan, as is a removal that meets no interval. Of one day removals come first. Each ticker's events are
+    streamed in order; a task keeps one day.
     """
-    o = W.partitionBy("ticker").orderBy("d", F.col("kind").desc())
-    turns = events.withColumn("_was", F.lag("kind").over(o)).where("_was is null or _was <> kind").where("not (_was is null and kind = 'remove')")
-    spans = turns.withColumn("end_date", F.lead("d").over(o)).where("kind = 'add'").select("ticker", F.col("d").alias("start_date"), "end_date")
-    s = W.partitionBy("ticker").orderBy("start_date")
-    new = F.coalesce((F.datediff("start_date", F.lag("end_date").over(s)) > gap).cast("int"), F.lit(1))
-    runs = spans.withColumn("_g", F.sum(new).over(s.rowsBetween(W.unboundedPreceding, 0)))
-    ends = F.when(F.max(F.col("end_date").isNull().cast("int")) == 0, F.max("end_date"))
-    return runs.groupBy("ticker", "_g").agg(F.min("start_date").alias("start_date"), ends.alias("end_date")).drop("_g")
+    rows = events.select("ticker", "d", "kind", F.when(F.col("kind") == "remove", 1).otherwise(2).alias("_o"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("ticker", F.col("start_date").alias("d"), F.lit("seed").alias("kind"), F.lit(0).alias("_o")))
+    first = rows.withColumn("_s", F.when(F.col("kind") == "seed", 0).otherwise(1)).repartition("ticker").sortWithinPartitions("ticker", "_s", "d", "_o").select("ticker", "d", "kind")
+    return first.mapInPandas(lambda b: _intervals(b, window), f"ticker {events.schema['ticker'].dataType.simpleString()}, what string, start_date date, end_date date")
+
+
+def consolidated(events: DataFrame, seeds: DataFrame | None = None, window: int = 30) -> DataFrame:
+    """(ticker, start_date, end_date): the intervals of `membership`."""
+    return membership(events, seeds, window).where("what = 'interval'").drop("what")
 
 
 def delistings(events: DataFrame, current: DataFrame) -> DataFrame:
-    """(ticker, delist_date, reason): the last removal of tickers that are not current members."""
+    """(ticker, delist_date, delist_return, category, reason): the last removal of tickers that are not current members, and what its reason says of the return."""
     gone = events.where("kind = 'remove'").groupBy("ticker").agg(F.max("d").alias("delist_date"), F.max_by("reason", "d").alias("reason"))
-    return gone.join(current.select("ticker").distinct(), "ticker", "left_anti")
+    ret, category = leaving_reason(F.col("reason"))
+    return gone.join(current.select("ticker").distinct(), "ticker", "left_anti").withColumns({"delist_return": ret, "category": category})

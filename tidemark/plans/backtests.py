@@ -66,13 +66,6 @@ def t24_momentum_rotation(spark, sf):
     return allocate.momentum_rotation(_rets(spark, sf), 126, 2).select("d", r6("ret", "ret"))
 
 
-@query(f"""WITH w AS (SELECT * FROM {_WEIGHTS}), g AS (SELECT r.d, r.ticker, coalesce(w.w, 0) AS w FROM (SELECT DISTINCT d FROM w) r0 CROSS JOIN (SELECT DISTINCT ticker FROM w) t0
- JOIN {RETURNS} r ON r.d = r0.d AND r.ticker = t0.ticker LEFT JOIN w ON w.d = r.d AND w.ticker = r.ticker)
- SELECT r.d, round(sum(coalesce(g.w, 0) * coalesce(r.ret, {BILL})), 6) AS ret, round(sum(coalesce(g.w, 0)), 6) AS invested FROM {RETURNS} r ASOF LEFT JOIN g ON r.ticker = g.ticker AND r.d > g.d GROUP BY r.d""")
-def t2_backtest(spark, sf):
-    return allocate.backtest(_rets(spark, sf), _weights(spark, sf), BILL).select("d", r6("ret", "ret"), r6("invested", "invested"))
-
-
 @query(f"""WITH w AS (SELECT * FROM {_WEIGHTS}), n AS (SELECT d, lead(d) OVER (ORDER BY d) AS nd FROM (SELECT DISTINCT d FROM w)),
  m AS (SELECT d, ticker, w FROM w UNION ALL SELECT nd, ticker, -w FROM w JOIN n USING (d) WHERE nd IS NOT NULL)
  SELECT d, round(sum(abs(w) * CASE WHEN ticker = 'A' THEN 5.0 ELSE 12.0 END / 10000), 6) AS cost FROM (SELECT d, ticker, sum(w) AS w FROM m GROUP BY 1, 2) GROUP BY d""")

@@ -115,7 +115,7 @@ def i7_drawdown_interval(spark, sf):
         level = np.cumprod(1 + r)
         return (level / np.maximum.accumulate(level) - 1).min()
 
-    got = inference.metric_interval(_rets(spark, sf), BY, drawdown, 1000)
+    got = inference.metric_interval(_rets(spark, sf), BY, drawdown)
     return got.select("ticker", r6("low", "low"), r6("high", "high"))
 
 
@@ -213,7 +213,7 @@ def i17_mix_difference(spark, sf):
 @query()
 def i21_resampled_paths(spark, sf):
     """Terminal value, growth and drawdown of each series and of a half-and-half mix over resampled days, drawn jointly."""
-    got = inference.resamples(pairs(spark, sf), BY, ["ret", "bench"], 1000)
+    got = inference.resamples(pairs(spark, sf), BY, ["ret", "bench"], inference.REPS)
     terminal = lambda c: F.aggregate(c, F.lit(1.0), lambda v, r: v * (1 + r))
     worst = lambda c: F.aggregate(c, F.struct(F.lit(1.0).alias("v"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd")), lambda a, r: F.struct(
         (a["v"] * (1 + r)).alias("v"), F.greatest(a["top"], a["v"] * (1 + r)).alias("top"), F.least(a["dd"], a["v"] * (1 + r) / F.greatest(a["top"], a["v"] * (1 + r)) - 1).alias("dd")))["dd"]

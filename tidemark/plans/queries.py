@@ -279,16 +279,16 @@ def a10_score_slices(spark, sf):
     return df.where("n >= 30")
 
 
-@query(f"SELECT ticker, CAST(year(d) AS INT) AS yr, round(exp(sum(ln(1 + ret))) - 1, 6) AS ret FROM {RETURNS} WHERE ret IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT ticker, CAST(year(d) AS INT) AS yr, round(product(1 + ret) - 1, 6) AS ret FROM {RETURNS} WHERE ret IS NOT NULL GROUP BY 1, 2")
 def a12_yearly_returns(spark, sf):
     df = history.returns(prices(spark, sf)).where("ret is not null")
-    return df.groupBy("ticker", F.year("d").alias("yr")).agg(r6(F.exp(F.sum(F.log1p("ret"))) - 1, "ret"))
+    return df.groupBy("ticker", F.year("d").alias("yr")).agg(r6(history.compounded(F.col("ret")) - 1, "ret"))
 
 
-@query(f"SELECT ticker, CAST(date_trunc('month', d) AS DATE) AS month, round(exp(sum(ln(1 + ret))) - 1, 6) AS ret FROM {RETURNS} WHERE ret IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT ticker, CAST(date_trunc('month', d) AS DATE) AS month, round(product(1 + ret) - 1, 6) AS ret FROM {RETURNS} WHERE ret IS NOT NULL GROUP BY 1, 2")
 def a13_monthly_returns(spark, sf):
     df = history.returns(prices(spark, sf)).where("ret is not null")
-    return df.groupBy("ticker", F.trunc("d", "month").alias("month")).agg(r6(F.exp(F.sum(F.log1p("ret"))) - 1, "ret"))
+    return df.groupBy("ticker", F.trunc("d", "month").alias("month")).agg(r6(history.compounded(F.col("ret")) - 1, "ret"))
 
 
 @query(f"SELECT yr, n_train, n_test FROM (SELECT yr, count(*) AS n_test, CAST(coalesce(sum(count(*)) OVER (ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_train FROM {PROBABILITIES} GROUP BY yr) WHERE yr >= 1997 AND n_train >= 50")

@@ -24,8 +24,8 @@ def w30_t22_calendar(spark, sf):
     return _rets(spark, sf).select("ticker", "d", winter.cast("int").alias("winter"), (m == 1).cast("int").alias("january"), m.isin(12, 1).cast("int").alias("turn"), r6(F.when(winter, F.col("ret")).otherwise(0.0001), "timed"))
 
 
-_SD = f"(SELECT ticker, d, ret, CASE WHEN count(ret) OVER {_W(62)} = 63 THEN stddev_samp(ret) OVER {_W(62)} END AS s FROM {RETURNS})"
-_CALM = f"(SELECT ticker, d, coalesce(lag(CAST(s < 1.5 * m AS INT)) OVER {_O}, 0) AS calm FROM (SELECT *, CASE WHEN count(s) OVER {_W(251)} = 252 THEN quantile_cont(s, 0.5) OVER {_W(251)} END AS m FROM {_SD}))"
+_SD = f"(SELECT ticker, d, ret, CASE WHEN count(ret) OVER {_W(62)} >= 31 THEN stddev_samp(ret) OVER {_W(62)} END AS s FROM {RETURNS})"
+_CALM = f"(SELECT ticker, d, coalesce(lag(coalesce(CAST(s < 1.5 * m AS INT), 0)) OVER {_O}, 1) AS calm FROM (SELECT *, CASE WHEN count(s) OVER {_W(251)} >= 126 THEN quantile_cont(s, 0.5) OVER {_W(251)} END AS m FROM {_SD}))"
 _MOM = f"(SELECT ticker, d, coalesce(lag(CASE WHEN count(ret) OVER {_W(125)} = 126 THEN CAST(sum(ret) OVER {_W(125)} > 0 AS INT) END) OVER {_O}, 0) AS mom FROM {RETURNS})".replace("lag(CASE WHEN count(ret) OVER " + _W(125) + " = 126 THEN CAST(sum(ret) OVER " + _W(125) + " > 0 AS INT) END) OVER " + _O, "lag(f) OVER " + _O).replace(f"FROM {RETURNS})", f"FROM (SELECT ticker, d, CASE WHEN count(ret) OVER {_W(125)} = 126 THEN CAST(sum(ret) OVER {_W(125)} > 0 AS INT) END AS f FROM {RETURNS}))")
 
 

@@ -97,7 +97,7 @@ def g23_two_sample_ks(spark, sf):
     return evaluate.two_sample_ks(probabilities(spark, sf), "p", F.col("yr") < 1998).select(r6("ks", "ks"), "n_train", "n_test")
 
 
-_EVENTS = f"(SELECT team AS ticker, d, CASE WHEN game_id % 3 = 0 THEN 'remove' ELSE 'add' END AS kind, 'r' || (game_id % 4) AS reason FROM (SELECT * FROM {SIDES} QUALIFY row_number() OVER (PARTITION BY team, d ORDER BY game_id) = 1) WHERE game_id % 5 < 3)"
+_EVENTS = f"(SELECT team AS ticker, d, CASE WHEN game_id % 3 = 0 THEN 'remove' ELSE 'add' END AS kind, CASE game_id % 4 WHEN 0 THEN 'Acquired by a rival' WHEN 1 THEN 'Bankruptcy' WHEN 2 THEN 'Market capitalization change' ELSE '' END AS reason FROM (SELECT * FROM {SIDES} QUALIFY row_number() OVER (PARTITION BY team, d ORDER BY game_id) = 1))"
 
 
 def _changes(spark, sf):
@@ -105,18 +105,32 @@ def _changes(spark, sf):
 
     from ..operators import matchups
 
-    s = matchups.sides(games(spark, sf)).withColumn("k", F.row_number().over(W.partitionBy("team", "d").orderBy("game_id"))).where("k = 1 and game_id % 5 < 3")
-    return s.select(F.col("team").alias("ticker"), "d", F.when(F.col("game_id") % 3 == 0, "remove").otherwise("add").alias("kind"), F.concat(F.lit("r"), F.col("game_id") % 4).alias("reason"))
+    s = matchups.sides(games(spark, sf)).withColumn("k", F.row_number().over(W.partitionBy("team", "d").orderBy("game_id"))).where("k = 1")
+    return s.select(F.col("team").alias("ticker"), "d", F.when(F.col("game_id") % 3 == 0, "remove").otherwise("add").alias("kind"), F.element_at(F.array(*map(F.lit, ("Acquired by a rival", "Bankruptcy", "Market capitalization change", ""))), (F.col("game_id") % 4 + 1).cast("int")).alias("reason"))
 
 
-_TURNS = f"(SELECT *, lag(kind) OVER (PARTITION BY ticker ORDER BY d) AS was FROM {_EVENTS})"
-_SPANS = f"(SELECT ticker, d AS s, nx AS e FROM (SELECT *, lead(d) OVER (PARTITION BY ticker ORDER BY d) AS nx FROM {_TURNS} WHERE (was IS NULL AND kind = 'add') OR was <> kind) WHERE kind = 'add')"
-_RUNS = f"(SELECT *, sum(CASE WHEN s - le > 30 OR le IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY s) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY ticker ORDER BY s) AS le FROM {_SPANS}))"
+_SEED_TEXT = "SELECT ticker, start_date FROM (SELECT CAST(floor(o_custkey / 10) AS INT) AS ticker, DATE '1998-01-01' + CAST(min(o_orderkey) % 1500 AS INT) AS start_date FROM {orders} GROUP BY CAST(floor(o_custkey / 10) AS INT)) s WHERE ticker % 7 = 0"
+#: Event after event: the start of the open interval, what the event closed, and whether it was an orphan.
+_MEMBERSHIP = f"""e AS (SELECT ticker, d, kind, row_number() OVER (PARTITION BY ticker ORDER BY d, kind DESC) AS k FROM {_EVENTS}), s AS (SELECT * FROM {plain(_SEED_TEXT)}),
+ m(ticker, k, open, s, e, orphan) AS (SELECT ticker, 0::BIGINT, max(start_date), NULL::DATE, NULL::DATE, 0 FROM (SELECT DISTINCT ticker FROM e UNION SELECT ticker FROM s) LEFT JOIN s USING (ticker) GROUP BY ticker UNION ALL
+ SELECT m.ticker, e.k, CASE WHEN kind = 'remove' THEN CASE WHEN open < d THEN NULL ELSE open END WHEN open IS NULL OR d - open > 30 THEN d WHEN d - open >= -30 THEN least(open, d) ELSE open END,
+  CASE WHEN (kind = 'remove' AND open < d) OR (kind = 'add' AND d - open > 30) THEN open END, CASE WHEN (kind = 'remove' AND open < d) OR (kind = 'add' AND d - open > 30) THEN d END,
+  CASE WHEN (kind = 'remove' AND (open IS NULL OR open >= d)) OR (kind = 'add' AND d - open < -30) THEN 1 ELSE 0 END FROM m JOIN e ON e.ticker = m.ticker AND e.k = m.k + 1),
+ i AS (SELECT ticker, s AS start_date, e AS end_date FROM m WHERE s IS NOT NULL UNION ALL SELECT ticker, open, NULL FROM m WHERE open IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY k DESC) = 1 AND k = (SELECT coalesce(max(k), 0) FROM e WHERE e.ticker = m.ticker))"""
 
 
-@query(f"SELECT ticker, min(s) AS start_date, CASE WHEN count(*) = count(e) THEN max(e) END AS end_date FROM {_RUNS} GROUP BY ticker, g")
+def _seeds(spark, sf):
+    return shared(spark, sf, _SEED_TEXT)
+
+
+@query(f"WITH RECURSIVE {_MEMBERSHIP} SELECT ticker, start_date, end_date FROM i")
 def u4_consolidated(spark, sf):
-    return splits.consolidated(_changes(spark, sf))
+    return splits.consolidated(_changes(spark, sf), _seeds(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_MEMBERSHIP} SELECT ticker, sum(orphan)::BIGINT AS orphans FROM m GROUP BY ticker HAVING sum(orphan) > 0")
+def u4_orphans(spark, sf):
+    return splits.membership(_changes(spark, sf), _seeds(spark, sf)).where("what = 'orphan'").groupBy("ticker").agg(F.count("*").alias("orphans"))
 
 
 _RAW = f"(SELECT ticker, d AS start_date, d + CAST(CASE ticker % 4 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 20 END AS INT) AS end_date FROM {_EVENTS} WHERE kind = 'add')"
@@ -128,10 +142,10 @@ def u5_interval_faults(spark, sf):
     return splits.overlapping(_changes(spark, sf).where("kind = 'add'").select("ticker", F.col("d").alias("start_date"), F.date_add("d", add).alias("end_date")))
 
 
-@query(f"SELECT ticker, max(d) AS delist_date, arg_max(reason, d) AS reason FROM {_EVENTS} WHERE kind = 'remove' AND ticker NOT IN (SELECT ticker FROM {_RUNS} WHERE e IS NULL) GROUP BY 1")
-def u2_u6_delistings(spark, sf):
+@query(f"WITH RECURSIVE {_MEMBERSHIP} SELECT ticker, max(d) AS delist_date, arg_max(reason, d) AS reason, CASE WHEN arg_max(reason, d) = 'Bankruptcy' THEN -0.99 ELSE 0.0 END AS delist_return FROM {_EVENTS} WHERE kind = 'remove' AND ticker NOT IN (SELECT ticker FROM i WHERE end_date IS NULL) GROUP BY 1")
+def u6_delistings(spark, sf):
     changes = _changes(spark, sf)
-    return splits.delistings(changes, splits.consolidated(changes).where("end_date is null"))
+    return splits.delistings(changes, splits.consolidated(changes, _seeds(spark, sf)).where("end_date is null")).drop("category")
 
 
 @query(f"SELECT id FROM {PROBABILITIES} WHERE yr < 1998 AND id IN (SELECT id - 64 FROM {PROBABILITIES} WHERE yr >= 1998)")
@@ -165,7 +179,7 @@ def b3_b7_b8_report(spark, sf):
     return got.select("yr", "side", "bets", *[r6(c, c) for c in ("staked", "roi", "win_rate", "flat_roi")])
 
 
-_DAYS = f"""(SELECT yr, d, count(*) AS bets, sum(stake) * least(1.0, 0.2 / sum(stake)) AS staked, sum(CASE WHEN won THEN stake * (odds - 1) ELSE -stake END) * least(1.0, 0.2 / sum(stake)) AS ret FROM {_BETS} JOIN (SELECT id, yr, d FROM {PROBABILITIES}) USING (id) GROUP BY 1, 2)"""
+_DAYS = f"""(SELECT yr, d, count(*) AS bets, sum(stake) * least(1.0, 0.2 / sum(stake)) AS staked, product(1 + scale * CASE WHEN won THEN stake * (odds - 1) ELSE -stake END) - 1 AS ret FROM (SELECT *, least(1.0, 0.2 / sum(stake) OVER (PARTITION BY yr, d)) AS scale FROM {_BETS} JOIN (SELECT id, yr, d FROM {PROBABILITIES}) USING (id)) GROUP BY 1, 2)"""
 _OPENS = f"(SELECT *, max(CASE WHEN open < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY yr ORDER BY d) AS stopped FROM (SELECT *, coalesce(exp(sum(ln(1 + ret)) OVER (PARTITION BY yr ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS open FROM {_DAYS}))"
 
 
