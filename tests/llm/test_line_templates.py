@@ -36,3 +36,21 @@ def test_short_lines_recur_as_they_are_in_many_documents(spark, monkeypatch):
     assert sum(t.count("read more") for _, t in got.values()) == 1
     assert sum(t.count("page ") for _, t in got.values()) == 5 and sum(t.count("seen thrice") for _, t in got.values()) == 5
     assert all("\n\n" in t or t.startswith("page") for _, t in got.values())
+
+
+@pytest.mark.parametrize("templates", [1, 2, 3, 5, 10])
+@pytest.mark.parametrize("each", [3, 60])
+def test_templates_that_share_a_leaf_are_all_found(spark, templates, each):
+    """Lines of twelve tokens: four leading ones of all templates, seven of the template, one variable."""
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    lines = [f"all of these begin {' '.join(f't{word(t)}w{word(p)}' for p in range(7))} v{word(t * each + k)}" for k in range(each) for t in range(templates)]
+    got = _cut(spark, lines)
+    assert sum(k for k, _ in got.values()) == templates * (each - 1)
+
+
+def test_small_templates_beside_a_large_one(spark):
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    large = [f"the same four words then a long line of the large template {word(k)}" for k in range(500)]
+    small = [f"the same four words but here is a quite small template now {word(k)}" for k in range(4)]
+    got = _cut(spark, large + small + ["the same four words and nothing else like any other line at all"])
+    assert sum(k for k, _ in got.values()) == 499 + 3 and got[504][0] == 0

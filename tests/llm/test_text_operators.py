@@ -173,3 +173,10 @@ def test_models_hold_on_rows_they_have_not_seen(spark):
     assert (q.predicted == q.quality).mean() > 0.9
     t = queries.op8_toxicity(spark, sf).where("held_out").toPandas().merge(labels, on="doc_id")
     assert (t.predicted == t.toxic).mean() > 0.9 and t.predicted[t.toxic == 0].sum() <= 1
+
+
+def test_copies_under_other_ids_are_documents(spark):
+    text = "a line of some words that is copied\n" + " ".join(f"w{i}" for i in range(9))
+    docs = spark.createDataFrame([(i, text, "s") for i in range(30)] + [(i % 3, text, "t") for i in range(60)], "doc_id long, text string, source string")
+    got = line_frequency.rate(docs).groupBy("source").agg(F.sum("n_lines_cut").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"s": 60, "t": 0}

@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Beside rules on a text's own words, lines are normalised and hashed, and the distinct documents that hold a line
-are counted for each host (the source). Lines in more than MOST_DOCS documents of a host are
+are counted for each host (the source); copies of a text under other ids are documents. Lines in more than MOST_DOCS documents of a host are
 removed from its documents, and a document left with too few of its words is rejected.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, n_words, saved, text_of
 
-#: A line in more distinct documents of one host than this is removed. Equal texts are one document.
+#: A line in more distinct documents of one host than this is removed. Rows equal in doc_id and text are one document.
 MOST_DOCS = 20
 #: A document is depleted if more than this per cent of its words stand in removed lines.
 MOST_LOST = 70
@@ -79,14 +79,14 @@ def rate(docs: DataFrame) -> DataFrame:
     """(doc_id, the base counts, base_failed, n_lines_cut, kept, text) for each row of docs; text is without the removed lines.
 
     A null text counts as empty and fails the base rules; a null source is a host of its own. Lines without a
-    word are never counted. Equal rows get equal results, and equal texts in a host count as one document. An
+    word are never counted. Equal rows get equal results, and rows equal in doc_id and text count as one document. An
     empty table gives no rows. Only doc_id, source and text are looked at.
     """
     text = text_of()
     rows = docs.select("doc_id", "source", text.alias("text"), F.xxhash64(text).alias("h"))
     lines = rows.select("doc_id", "source", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", n_words(F.col("line"))).where("words > 0")
     lines = saved(lines.select("doc_id", "source", "h", "pos", F.xxhash64(normalised(F.col("line"))).alias("line"), "words"))
-    frequent = lines.select("source", "line", "h").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") > MOST_DOCS)
+    frequent = lines.select("source", "line", "doc_id", "h").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") > MOST_DOCS)
     frequent = broadcast_if_small(saved(frequent.select(F.col("source").alias("f_source"), F.col("line").alias("f_line"))))
     cut = lines.join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("line") == F.col("f_line")))
     cut = cut.groupBy("doc_id", "source", "h").agg(F.collect_set(F.struct("pos", "words")).alias("cut"))

@@ -1,10 +1,10 @@
 """Lines that recur across documents, found with a fixed-depth tree of line templates.
 
 The tree's leaf for a line is its token count and its first LEAD tokens, where a token with a digit is
-the variable <*>. Within a leaf a token is constant at a position where at least SHARE of the leaf's different
-lines have it, whatever their number, and two of them at least; other tokens are variable fields. Lines whose constants cover
-CONSTANT of their positions, the same ones, share a template; other lines are templates by themselves. A
-line with too many tokens with digits is no template: it stands for itself, with its digits. A template in two or more
+the variable <*>. Within a leaf each token is counted over the leaf's different lines. The best CONSTANT of a line's positions
+give its group: the lines that agree there, of which there are as many as the least of their counts. A token is constant where at least SHARE of the group
+has it, and two lines at least, whatever else is in the leaf; other tokens are variable fields. Lines with the same constants
+share a template; lines whose best positions are not all shared are templates by themselves. A line with too many tokens with digits is no template: it stands for itself, with its digits. A template in two or more
 documents recurs: its first line in order of documents stays, all others are dropped. Lines of fewer than
 LEAST_TOKENS tokens say little and stand in many texts: they recur only as they are, in SHORT_DOCS documents or more.
 Everything is DataFrame functions; only lines in leaves with more than one kind of line are taken apart.
@@ -20,7 +20,7 @@ from .common import broadcast_if_small, saved, text_of
 LEAD = 4
 LEAST_TOKENS = 5
 SHORT_DOCS = 100
-SHARE = 0.4
+SHARE = 0.8
 CONSTANT = 0.75
 VARIABLE = "<*>"
 #: Leaves with more than one kind of line are broadcast up to so many (8 MB of hashes), and joined by a shuffle beyond.
@@ -83,13 +83,13 @@ def recurring(lines: DataFrame) -> DataFrame:
     texts = saved(long.select("leaf", "kind", "line").join(named, "leaf", "left_semi").groupBy("leaf", "kind").agg(F.first("line").alias("line")))
     tokens = texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != VARIABLE)
     tokens = tokens.select("leaf", "kind", F.xxhash64("leaf", "at", "token").alias("slot"))
-    slots = tokens.groupBy("leaf", "slot").agg(F.count("*").alias("m")).where("m > 1")
-    constant = slots.join(broadcast_if_small(mixed, SMALL), "leaf").where(F.col("m") >= SHARE * F.col("k")).select("slot")
-    shapes = tokens.join(constant, "slot").groupBy("leaf", "kind").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    slots = tokens.groupBy("slot").agg(F.count("*").alias("m")).where("m > 1")
+    counted = tokens.join(slots.select("slot", "m"), "slot").groupBy("leaf", "kind").agg(F.sort_array(F.collect_list(F.struct("m", "slot")), asc=False).alias("slots"))
     sizes = texts.select("leaf", "kind", F.size(F.split("line", " ")).alias("n"))
-    shared = F.size("slots") >= CONSTANT * F.col("n")
-    by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64("slots").alias("hash"))
-    shaped = sizes.join(shapes, ["leaf", "kind"], "left").select("leaf", "kind", F.when(shared, by_shape).otherwise(by_itself).alias("template"))
+    least = F.get("slots", F.ceil(CONSTANT * F.col("n")).cast("int") - 1)["m"]
+    shape = F.array_sort(F.transform(F.filter("slots", lambda s: s["m"] >= SHARE * least), lambda s: s["slot"]))
+    by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64(shape).alias("hash"))
+    shaped = sizes.join(counted, ["leaf", "kind"], "left").select("leaf", "kind", F.when(least.isNotNull(), by_shape).otherwise(by_itself).alias("template"))
     shaped = saved(shaped.join(kinds, ["leaf", "kind"]).select("leaf", "kind", "template", first.alias("first"), "apart"))
     who = F.struct("first.doc_id", "first.h")
     groups = shaped.groupBy("leaf", "template").agg(F.min("first").alias("first"), (F.max("apart") | ~F.min(who).eqNullSafe(F.max(who))).alias("recurs")).where("recurs").drop("recurs")

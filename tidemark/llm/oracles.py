@@ -62,9 +62,11 @@ c AS (SELECT r, doc_id, pos, line, w, len(w) AS n, len(w) || ' ' || array_to_str
 k AS (SELECT leaf, line, any_value(w) AS w, any_value(n) AS n, min((doc_id, pos)) AS first, max((doc_id, pos)) AS last, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, line),
 z AS (SELECT leaf, count(*) AS kinds FROM k GROUP BY leaf),
 u AS (SELECT leaf, line, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM k WHERE n >= {t.LEAST_TOKENS}),
-f AS (SELECT leaf, place, token FROM u JOIN z USING (leaf) WHERE token <> '{var}' GROUP BY leaf, place, token HAVING count(*) > 1 AND count(*) >= {t.SHARE} * max(kinds)),
-h AS (SELECT leaf, line, count(*) AS n_constant, string_agg(place || ' ' || token, ' ' ORDER BY place) AS shape FROM u JOIN f USING (leaf, place, token) GROUP BY leaf, line),
-p AS (SELECT k.leaf, k.line, k.n, first, last, docs, CASE WHEN n_constant >= {t.CONSTANT} * k.n THEN '1' || shape ELSE '0' || k.line END AS template FROM k LEFT JOIN h USING (leaf, line)),
+f AS (SELECT leaf, place, token, count(*) AS m FROM u WHERE token <> '{var}' GROUP BY leaf, place, token HAVING count(*) > 1),
+x0 AS (SELECT leaf, line, place, token, m, row_number() OVER (PARTITION BY leaf, line ORDER BY m DESC) AS nth FROM u JOIN f USING (leaf, place, token)),
+x1 AS (SELECT leaf, line, m AS least FROM x0 JOIN k USING (leaf, line) WHERE nth = ceil({t.CONSTANT} * n)),
+h AS (SELECT leaf, line, string_agg(place || ' ' || token, ' ' ORDER BY place) AS shape FROM x0 JOIN x1 USING (leaf, line) WHERE m >= {t.SHARE} * least GROUP BY leaf, line),
+p AS (SELECT k.leaf, k.line, k.n, first, last, docs, CASE WHEN shape IS NOT NULL THEN '1' || shape ELSE '0' || k.line END AS template FROM k LEFT JOIN h USING (leaf, line)),
 g AS (SELECT leaf, template, min(first) AS stays FROM p GROUP BY leaf, template HAVING CASE WHEN max(n) >= {t.LEAST_TOKENS} THEN min(first)[1] <> max(last)[1] ELSE max(docs) >= {t.SHORT_DOCS} END),
 x AS (SELECT c.r, c.pos FROM c JOIN p USING (leaf, line) JOIN g USING (leaf, template) WHERE (c.doc_id, c.pos) <> stays),
 cut AS (SELECT r, list(pos) AS cut FROM x GROUP BY r),
@@ -84,10 +86,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 g AS (SELECT r, i, {gram} AS gram FROM (SELECT r, w, unnest(generate_series(1, len(w) - {k - 1})) AS i FROM d WHERE len(w) >= {k})),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM twice, (SELECT unnest(generate_series(0, {k - 1})) AS j) GROUP BY r),
-l AS (SELECT r, source, text, line, {line} AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-      FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+l AS (SELECT r, source, doc_id, text, line, {line} AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+      FROM (SELECT r, source, doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l WHERE words > 0 GROUP BY r),
-freq AS (SELECT source, norm FROM l WHERE words > 0 GROUP BY source, norm HAVING count(DISTINCT text) > {line_frequency.MOST_DOCS}),
+freq AS (SELECT source, norm FROM l WHERE words > 0 GROUP BY source, norm HAVING count(DISTINCT {{'d': doc_id, 't': text}}) > {line_frequency.MOST_DOCS}),
 cut AS (SELECT r, count(*) AS n_lines_cut, sum(words) AS lost FROM l JOIN freq ON l.norm = freq.norm AND l.source IS NOT DISTINCT FROM freq.source WHERE words > 0 GROUP BY r),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
