@@ -169,3 +169,57 @@ def agreement(scored: DataFrame, models: list[str], train: DataFrame) -> DataFra
     cuts = evaluate.quantiles(dev(train), "std", [0.2, 0.4, 0.6, 0.8])
     met = dev(scored).crossJoin(F.broadcast(cuts))  # one row
     return met.withColumn("quintile", F.size(F.filter("cuts", lambda c: c <= F.col("std")))).drop("cuts")
+
+
+def search(rows: DataFrame, y: str, row: str, configs: dict[str, tuple[list[str], float]], day: str | None = None) -> DataFrame:
+    """(config, n, log_loss, accuracy, brier) over all test rows of each configuration: the features of its logistic model, and its penalty.
+
+    Configurations are groups of one job: each row is read once for each, features that a configuration lacks are 0 in it, and a penalty
+    is a unit one on scaled features. Features are scaled on each fold's training rows first.
+    """
+    features = sorted({f for used, _ in configs.values() for f in used})
+    rows = Step("zscore", tuple(features)).apply(guarded(saved(rows), row, day)).dropna(subset=[*features, y])
+    named = F.array(*[F.struct(F.lit(name).alias("config"), *[F.lit(penalty**-0.5 if f in used else 0.0).alias(f"_u_{f}") for f in features]) for name, (used, penalty) in configs.items()])
+    each = rows.select("fold", "part", row, y, *features, F.explode(named).alias("_c"))
+    each = each.select("fold", "part", row, F.col(y).alias("y"), "_c.config", *[(F.col(f) * F.col(f"_c._u_{f}")).alias(f) for f in features])
+    coef = calibrate.fitted(each.where("part = 'train'"), ["config", "fold"], features, "y", ridge=1.0).select("config", "fold", "coef")
+    p = calibrate.clipped(calibrate.sigmoid(calibrate.linear(F.col("coef"), [F.col(f) for f in features])))
+    scored = each.where("part = 'test'").join(F.broadcast(coef), ["config", "fold"]).select("config", "y", p.alias("p"))  # a row a configuration and fold
+    return evaluate.binary_scores(scored, ["config"])
+
+
+def drawn_configs(features: list[str], n: int, seed: int = 42, penalties: tuple[float, float] = (0.01, 100.0)) -> dict[str, tuple[list[str], float]]:
+    """n random configurations: every feature in with even odds (one at least), penalties even in their logarithm."""
+    import random
+
+    rng, out = random.Random(seed), {}
+    for k in range(n):
+        used = [f for f in features if rng.random() < 0.5] or [rng.choice(features)]
+        out[f"c{k:03d}"] = (used, penalties[0] * (penalties[1] / penalties[0]) ** rng.random())
+    return out
+
+
+def ablation(rows: DataFrame, y: str, row: str, groups: dict[str, list[str]], ridge: float = 1.0, day: str | None = None) -> DataFrame:
+    """(left_out, n, log_loss, accuracy, brier, worse): the scores without each group of features, and by how much the log loss is worse than with all (a null left_out)."""
+    every = [f for fs in groups.values() for f in fs]
+    configs = {"": (every, ridge)} | {g: ([f for f in every if f not in fs], ridge) for g, fs in groups.items()}
+    got = search(rows, y, row, configs, day)
+    base = got.where("config = ''").select(F.col("log_loss").alias("_all"))
+    return got.crossJoin(F.broadcast(base)).select(F.when(F.col("config") != "", F.col("config")).alias("left_out"), "n", "log_loss", "accuracy", "brier", (F.col("log_loss") - F.col("_all")).alias("worse"))  # one row
+
+
+def forward_selection(rows: DataFrame, y: str, row: str, features: list[str], ridge: float = 1.0, least: float = 0.0, day: str | None = None) -> list[tuple[str, float]]:
+    """[(feature, log loss with it and those before)]: greedily, the feature that lowers the test log loss most, while it does by more than `least`.
+
+    A step is one job over all candidates; the driver sees their scores only. Of equal scores the first name is taken.
+    """
+    rows, chosen, best = saved(rows), [], float("inf")
+    while len(chosen) < len(features):
+        used = [f for f, _ in chosen]
+        tried = search(rows, y, row, {f: ([*used, f], ridge) for f in features if f not in used}, day).select("log_loss", "config").collect()
+        loss, name = min((r["log_loss"], r["config"]) for r in tried)
+        if loss >= best - least:
+            break
+        chosen.append((name, loss))
+        best = loss
+    return chosen

@@ -212,3 +212,68 @@ def strict_gate(excess: Column, holm_p: Column, low: Column, least: float = 0.20
 def elevated(excess: Column, low: Column, same_sign: Column, diff: Column, least: float = 0.60) -> Column:
     """All of: excess Sharpe above `least`, interval above zero, sub-periods of one sign, a positive Sharpe difference."""
     return (excess > least) & (low > 0) & same_sign & (diff > 0)
+
+
+def least_vol_weight(pairs: DataFrame, by: list[str], grid: list[float], band: tuple[float, float], **how) -> DataFrame:
+    """(by, weight, vol, in_band, reps, mean, in_band_share): the weight of ret in a mix with bench that has the least deviation, and where resamples have it.
+
+    Of equal deviations the smaller weight counts. Every replicate's deviations come from the sums of its blocks.
+    """
+    from .regress import mixed_vol
+
+    sums = [F.col(c) for c in ("s", "b", "ss", "bb", "sb", "n")]
+    best = lambda: F.array_min(F.array(*[F.struct(mixed_vol(*sums, w).alias("vol"), F.lit(w).alias("weight")) for w in sorted(grid)]))
+    inside = lambda c: (c >= band[0]) & (c <= band[1])
+    whole = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum("bench").alias("b"), F.sum(F.col("ret") * F.col("ret")).alias("ss"), F.sum(F.col("bench") * F.col("bench")).alias("bb"), F.sum(F.col("ret") * F.col("bench")).alias("sb"))
+    point = whole.withColumn("m", best()).select(*by, "m.weight", "m.vol", inside(F.col("m.weight")).alias("in_band"))
+    drawn = _pair_sums(pairs, by, **how).withColumn("m", best()).groupBy(*by).agg(F.count("*").alias("reps"), F.avg("m.weight").alias("mean"), F.avg(inside(F.col("m.weight")).cast("double")).alias("in_band_share"))
+    return point.join(drawn, by)
+
+
+def publication_decay(rets: DataFrame, by: list[str], published: Column, least: int = YEAR, confidence: float = 0.90, seed: int = 42, **how) -> DataFrame:
+    """(by, n_pre, n_post, pre, post, decay, diff, diff_low, diff_high): Sharpe ratios before a date and from it on, and the interval of their difference.
+
+    The two samples are drawn separately (seed and seed + 1). Figures are null where a sample has fewer than `least` rows.
+    """
+    parts = {name: rets.where(cond).select(*by, "d", "ret") for name, cond in (("pre", F.col("d") < published), ("post", F.col("d") >= published))}
+    enough = {name: df.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where(F.col("_n") >= least).drop("_n") for name, df in parts.items()}
+    reps = {name: bootstrap_sharpe(df, by, seed=seed + i, **how).select(*by, "rep", F.col("sharpe").alias(name)) for i, (name, df) in enumerate(enough.items())}
+    both = reps["pre"].join(reps["post"], [*by, "rep"]).select(*by, (F.col("pre") - F.col("post")).alias("diff"))
+    counts = rets.groupBy(*by).agg(F.count(F.when(F.col("d") < published, 1)).alias("n_pre"), F.count(F.when(F.col("d") >= published, 1)).alias("n_post"))
+    point = {name: _observed(df, by, **{name: _group_sharpe(F.col("ret"))}).drop("n") for name, df in enough.items()}
+    met = counts.join(point["pre"].join(point["post"], by), by, "left").join(both.groupBy(*by).agg(*_interval(both, by, "diff", confidence)), by, "left")
+    return met.withColumn("decay", F.when(F.abs("pre") > 1e-6, 1 - F.col("post") / F.col("pre")).otherwise(F.when(F.col("pre").isNotNull(), 0.0))).withColumn("diff", F.col("pre") - F.col("post"))
+
+
+def max_drawdown(returns: Column) -> Column:
+    """The deepest fall of an array of returns below its own peak, start included: a fold that keeps the value, its peak and the fall."""
+    start = F.struct(F.lit(1.0).alias("v"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
+    moved = lambda a, r: F.struct((a["v"] * (1 + r)).alias("v"), F.greatest(a["top"], a["v"] * (1 + r)).alias("top"), F.least(a["dd"], a["v"] * (1 + r) / F.greatest(a["top"], a["v"] * (1 + r)) - 1).alias("dd"))
+    return F.aggregate(returns, start, moved)["dd"]
+
+
+def drawdown_interval(pairs: DataFrame, by: list[str], confidence: float = 0.90, reps: int = 5_000, **how) -> DataFrame:
+    """(by, point, low, high, share_shallower): by how much ret falls less than bench at worst, as observed and over paired resamples of the days."""
+    drawn = resamples(pairs, by, ["ret", "bench"], reps, **how).select(*by, (max_drawdown(F.col("ret")) - max_drawdown(F.col("bench"))).alias("diff"))
+    whole = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("d", "ret", "bench"))).alias("_r"))  # a series' own days
+    point = whole.select(*by, (max_drawdown(F.transform("_r", lambda r: r["ret"])) - max_drawdown(F.transform("_r", lambda r: r["bench"]))).alias("point"))
+    tail = (1 - confidence) / 2
+    spread = drawn.groupBy(*by).agg(F.percentile("diff", F.lit(tail)).alias("low"), F.percentile("diff", F.lit(1 - tail)).alias("high"), F.avg((F.col("diff") > 0).cast("double")).alias("share_shallower"))
+    return point.join(spread, by)
+
+
+def random_timing(rets: DataFrame, by: list[str], exposure: str, bill: float = 0.0, sims: int = 1_000, seed: int = 42) -> DataFrame:
+    """(by, exposure, observed, sims, null_mean, null_std, p_upper): the Sharpe ratio of timed minus held returns against that of as many random timings of equal mean exposure.
+
+    A random timing is in on each day by itself with the mean exposure as its chance, by a hash of (seed, sim, d).
+    """
+    x = (1 - F.col(exposure)) * (bill - F.col("ret"))
+    point = rets.groupBy(*by).agg(F.avg(exposure).alias("exposure"), _group_sharpe(x).alias("observed"))
+    named = point.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("exposure").alias("_p"), F.col("observed").alias("_o"))
+    met = rets.join(F.broadcast(named), [rets[c].eqNullSafe(named[f"_g_{c}"]) for c in by])  # a row a series
+    each = met.select(*by, "d", "ret", "_p", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "sim", F.col("d").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    null = each.groupBy(*by, "sim").agg(_group_sharpe(F.when(u < F.col("_p"), 0.0).otherwise(bill - F.col("ret"))).alias("stat"))
+    back = null.join(F.broadcast(named), [null[c].eqNullSafe(named[f"_g_{c}"]) for c in by])
+    got = back.groupBy(*by).agg(F.count("*").alias("sims"), F.avg("stat").alias("null_mean"), F.stddev_pop("stat").alias("null_std"), ((1 + F.sum((F.col("stat") >= F.col("_o")).cast("long"))) / (F.count("*") + 1)).alias("p_upper"))
+    return point.join(got, by)

@@ -283,3 +283,37 @@ def v11_boosted_folds(spark, sf):
 def x20_elastic_folds(spark, sf):
     """Elastic net: penalised sums of squares and absolute values."""
     return experiment.summary(experiment.run(_walk(spark, sf), _FEATURES, "y", "id", experiment.elastic(), day="d"))
+
+
+
+
+def _three_features(spark, sf):
+    rows = probabilities(spark, sf).select("id", "yr", "d", "y", "p", "fair", (F.col("id") * 31 % 101 / F.lit(101.0)).alias("noise"))
+    return splits.walk_forward(rows, "yr", "d", "id", 3).withColumnRenamed("eval", "fold")
+
+
+def _without(name: str, a: str, b: str) -> str:
+    """One configuration's test rows (config, y, p): a logistic regression of two scaled features, each 0 where it is left out."""
+    z = f"z AS (SELECT fold, part, id, y, {a} AS a, {b} AS b FROM (SELECT fold, part, id, y, (p - ma) / sa AS p, (fair - mb) / sb AS f FROM w JOIN (SELECT fold, avg(p) AS ma, stddev_samp(p) AS sa, avg(fair) AS mb, stddev_samp(fair) AS sb FROM w WHERE part = 'train' GROUP BY fold) USING (fold)))"
+    return f"SELECT * FROM (WITH RECURSIVE {z}, {_solved('(SELECT * FROM z WHERE part = ' + repr('train') + ')', 'z', 1.0)} SELECT {name} AS config, y, least(greatest(1 / (1 + exp(-(w0 + w1 * a + w2 * b))), 0.03), 0.97) AS p FROM z JOIN f USING (fold) WHERE part = 'test' AND step = 12)"
+
+
+@query(f"""WITH w AS {_FULL}, s AS ({_without('NULL', 'p', 'f')} UNION ALL {_without("'fair'", 'p', '0')} UNION ALL {_without("'p'", '0', 'f')}),
+ g AS (SELECT config, count(*) AS n, {_SCORES} FROM s GROUP BY config) SELECT config AS left_out, n, log_loss, accuracy, brier FROM g""")
+def v18_y34_ablation(spark, sf):
+    """The scores without each feature, all in one job."""
+    got = experiment.ablation(_walk(spark, sf), "y", "id", {"p": ["p"], "fair": ["fair"]}, day="d")
+    return got.select("left_out", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier"))
+
+
+@query()
+def v17_random_search(spark, sf):
+    """24 drawn configurations of features and penalties, scored in one job, the best first."""
+    got = experiment.search(_three_features(spark, sf), "y", "id", experiment.drawn_configs(["p", "fair", "noise"], 24), day="d")
+    return got.select("config", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"), r6("brier", "brier")).orderBy("log_loss", "config")
+
+
+@query()
+def v19_forward_selection(spark, sf):
+    got = experiment.forward_selection(_three_features(spark, sf), "y", "id", ["p", "fair", "noise"], day="d")
+    return spark.createDataFrame([(k, f, round(loss, 6)) for k, (f, loss) in enumerate(got, 1)], "step int, feature string, log_loss double")
