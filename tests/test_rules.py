@@ -156,3 +156,10 @@ def test_bad_cells_are_null(spark):
 
     got = files.percent_block(spark.createDataFrame([("x\n20240102, n/a, 1.0\n",)], "value string"), ["a", "b"]).first()
     assert got.a is None and got.b == 0.01
+
+
+def test_cells_keep_the_digit_of_their_column(spark):
+    from tidemark.sources import files
+
+    got = files.percent_block(spark.createDataFrame([("x\n20240102, 1.51, 2.2\n",)], "value string"), ["a", "b"]).first()
+    assert (got.a, got.b) == (pytest.approx(0.0151), pytest.approx(0.022))

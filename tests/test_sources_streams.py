@@ -38,7 +38,7 @@ def test_book_odds_keeps_credible_margins(spark):
 def test_percent_block_stops_at_the_first_other_line(spark):
     text = "Notes\n,Mkt,RF\n19260701,  0.10, 0.009\n192607, -99.99, 1.0\n\nAnnual\n1927, 2.0, 3.0\n192708, 5, 6\n"
     got = files.percent_block(spark.createDataFrame([(text,)], "value string"), ["mkt", "rf"]).orderBy(F.desc("rf")).collect()
-    assert [(str(r.d), r.mkt, round(r.rf, 8)) for r in got] == [("1926-07-01", None, 0.01), ("1926-07-01", 0.001, 0.00009)]
+    assert [(str(r.d), r.mkt, round(r.rf, 8)) for r in got] == [("1926-07-31", None, 0.01), ("1926-07-01", 0.001, 0.00009)]
 
 
 def test_keep_last_and_layered(spark):

@@ -72,15 +72,15 @@ def book_odds(raw: DataFrame, json: str = "json", least_vig: float = 0.0, vig_be
 def percent_block(files: DataFrame, columns: list[str], text: str = "value") -> DataFrame:
     """The first data block of each percent file (one text a row): lines that begin with a date, up to the first that does not.
 
-    Dates are YYYYMMDD or YYYYMM (its first day); percents become fractions, -99.99, -999 and cells that are no numbers nulls.
+    Dates are YYYYMMDD or YYYYMM (its last day); percents become fractions, -99.99, -999 and cells that are no numbers nulls.
     """
     lines = files.select(F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"), *[c for c in files.columns if c != text])
     by = [c for c in files.columns if c != text] or [F.lit(0)]
     o = W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     dated = lines.withColumn("_is", F.col("line").rlike(r"^\s*\d{6}(\d{2})?\s*,"))
     block = dated.withColumn("_seen", F.max("_is").over(o)).withColumn("_end", F.max(F.col("_seen") & ~F.col("_is")).over(o)).where("_seen and not _end")
-    cells = F.transform(F.split("line", ","), F.trim)
-    day = F.to_date(F.rpad(cells[0], 8, "01"), "yyyyMMdd")
+    cells = F.transform(F.split("line", ","), lambda c: F.trim(c))
+    day = F.when(F.length(cells[0]) == 8, F.try_to_date(cells[0], "yyyyMMdd")).otherwise(F.last_day(F.try_to_date(F.concat(cells[0], F.lit("01")), "yyyyMMdd")))
     number = lambda i: F.get(cells, i).try_cast("double")
     figure = lambda i: F.when(~number(i).isin(-99.99, -999.0), number(i) / 100)
     return block.select(*[c for c in files.columns if c != text], day.alias("d"), *[figure(F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
