@@ -104,11 +104,11 @@ _NAMES = "(SELECT DISTINCT p_name AS name FROM part)"
 
 
 @query(f"""WITH s AS (SELECT name, list_distinct([('^' || lower(name) || '$')[i : i + 1] FOR i IN range(1, length(name) + 2)]) AS q FROM {_NAMES})
- SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.q, b.q)) / len(list_distinct(a.q || b.q)), 6) AS similarity FROM s a JOIN s b ON a.name < b.name WHERE len(list_intersect(a.q, b.q)) / len(list_distinct(a.q || b.q)) >= 0.8 - 1e-9""")
+ SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.q, b.q)) / len(list_distinct(a.q || b.q)), 6) AS similarity FROM s a JOIN s b ON a.name < b.name WHERE len(list_intersect(a.q, b.q)) / len(list_distinct(a.q || b.q)) >= 0.5 - 1e-9""")
 def y44_similar_names(spark, sf):
     """All pairs of part names whose letter pairs are alike, found by their rare pairs and verified."""
     names = table(spark, sf, "part").select(F.col("p_name").alias("name"))
-    return payloads.similar_names(names, 0.8).select("a", "b", r6("similarity", "similarity"))
+    return payloads.similar_names(names, 0.5).select("a", "b", r6("similarity", "similarity"))
 
 
 @query("""SELECT c, f, cd AS current_in_data, fd AS former_in_data, cov AS in_former_names, fd AND NOT cov AS needs_merge FROM (SELECT s_name AS c, 'Old ' || s_name AS f, s_suppkey % 2 = 0 AS cd, s_suppkey % 3 = 0 AS fd, s_suppkey % 6 = 0 AS cov FROM supplier)""")
