@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.saved import saved
 from .asof import latest_filed
 
 # Names under which filers report a figure, best first.
@@ -110,7 +111,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def metrics(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row for each decision: trailing sums, balances, ratios and the filing date of the latest income. Null wherever a part is missing."""
-    known = as_known(by_alias(facts), decisions)
+    known = saved(as_known(by_alias(facts), decisions))  # read for flows and for balances
     sums = trailing_sums(quarterise(known.where(F.col("alias").isin(*FLOWS))))
     balances = latest_values(known)
     pick = lambda alias, c="val": F.max(F.when(F.col("alias") == alias, F.col(c)))
@@ -133,7 +134,7 @@ FLAGS = ("p1", "p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9")
 def f_scores(facts: DataFrame, decisions: DataFrame, days: int = 365) -> DataFrame:
     """(ticker, at, p1 ... p9, score) of figures at a decision against those `days` earlier; a null flag voids the score."""
     earlier = decisions.select("ticker", F.date_sub("at", days).alias("at"))
-    every = metrics(facts, decisions.select("ticker", "at").unionByName(earlier).distinct())
+    every = saved(metrics(facts, decisions.select("ticker", "at").unionByName(earlier).distinct()))  # now and a year ago
     now = decisions.select("ticker", "at").join(every, ["ticker", "at"])
     past = every.select("ticker", F.date_add("at", days).alias("at"), *[F.col(c).alias(f"o_{c}") for c in ("roa_ttm", "debt_to_equity", "current_ratio", "shares_outstanding", "gross_margin_ttm", "ttm_revenue", "total_assets")])
     met, c = now.join(past, ["ticker", "at"]), F.col

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import asof, fundamentals
+from ..sources.saved import saved
 from .queries import query
 from .views import MONTHLY, monthly, plain, r2, r6, shared
 
@@ -15,8 +16,9 @@ _case = lambda names: " ".join(f"WHEN '{c}' THEN x{i}" for i, c in enumerate(nam
 _values = lambda names: ", ".join(f"('{c}')" for c in names)
 
 #: Facts in filing form: flows by quarter (ticker % 3 = 2), quarter and annual (0) or cumulative (1), balances, shares; some filed again later.
-FACTS_TEXT = f"""WITH q AS (SELECT l_suppkey AS ticker, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q0, sum(l_extendedprice) / 7 AS rev, sum(l_extendedprice * l_discount) / 7 AS disc, sum(l_extendedprice * l_tax) / 7 AS tax, sum(l_quantity) / 7 AS qty
-  FROM {{lineitem}} GROUP BY l_suppkey, date_trunc('quarter', l_shipdate)),
+_QUARTERS_TEXT = """SELECT l_suppkey AS ticker, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q0, sum(l_extendedprice) / 7 AS rev, sum(l_extendedprice * l_discount) / 7 AS disc, sum(l_extendedprice * l_tax) / 7 AS tax, sum(l_quantity) / 7 AS qty
+ FROM {lineitem} GROUP BY l_suppkey, date_trunc('quarter', l_shipdate)"""
+_FILED_TEXT = f"""WITH q AS (SELECT * FROM {{quarters}}),
  e AS (SELECT *, CAST(date_trunc('year', q0) AS DATE) AS y0, CAST(q0 + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS end_d, CAST(quarter(q0) AS INT) AS k FROM q),
  f AS (SELECT ticker, q0, y0, end_d, k, concept, CASE concept {_case(_FLOWS)} END AS x FROM (SELECT *, rev AS x0, rev * 0.4 - disc AS x1, tax - rev * 0.035 AS x2, tax - rev * 0.03 AS x3, qty * 30 - disc AS x4 FROM e) t CROSS JOIN (VALUES {_values(_FLOWS)}) AS c(concept)),
  g AS (SELECT *, sum(x) OVER (PARTITION BY ticker, concept, y0 ORDER BY k) AS upto FROM f),
@@ -27,7 +29,7 @@ FACTS_TEXT = f"""WITH q AS (SELECT l_suppkey AS ticker, CAST(date_trunc('quarter
   UNION ALL SELECT ticker, 'dei', 'EntityCommonStockSharesOutstanding', 'shares', end_d, end_d, 100 + qty % 900, CAST(end_d + INTERVAL 35 DAY AS DATE), '10-Q' FROM e WHERE ticker % 2 = 0
   UNION ALL SELECT ticker, 'us-gaap', 'CommonStockSharesOutstanding', 'shares', end_d, end_d, 100 + qty % 700, CAST(end_d + INTERVAL 40 DAY AS DATE), '10-Q' FROM e WHERE ticker % 2 = 1)
  SELECT * FROM a UNION ALL SELECT ticker, taxonomy, concept, unit, start_d, end_d, val * 1.02, CAST(filed + INTERVAL 160 DAY AS DATE), form FROM a WHERE ticker % 4 = 0 AND month(end_d) = 6"""
-FACTS = plain(FACTS_TEXT)
+FACTS = plain(_FILED_TEXT.replace("SELECT * FROM {quarters}", _QUARTERS_TEXT))
 _AT = "(SELECT DISTINCT ticker, CAST(date_trunc('year', d) + INTERVAL 7 MONTH AS DATE) AS at FROM " + MONTHLY + ")"
 
 _NAMES = ", ".join(f"('{a}', '{c}')" for a, cs in fundamentals.ALIASES.items() for c in cs)
@@ -64,7 +66,8 @@ _FIGURES = ["ttm_net_income", "ttm_revenue", "ttm_gross_profit", "ttm_operating_
 
 
 def _facts(spark, sf):
-    return shared(spark, sf, FACTS_TEXT)
+    """Written once: every figure of a decision is made from them."""
+    return saved(spark.sql(_FILED_TEXT, quarters=saved(shared(spark, sf, _QUARTERS_TEXT))))
 
 
 def _decisions(spark, sf):
