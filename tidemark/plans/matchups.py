@@ -268,7 +268,7 @@ def w22_final_means(spark, sf):
 
 
 @query(f"SELECT event_id, round(avg(value) OVER p, 6) AS so_far, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS last5, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INT) AS nth FROM {EVENTS} WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-def w7_w8_w23_w24_players(spark, sf):
+def w23_player_means(spark, sf):
     o = W.partitionBy("user_id").orderBy("ts", "event_id")
     return events(spark, sf).select("event_id", r6(F.avg("value").over(o.rowsBetween(W.unboundedPreceding, -1)), "so_far"), r6(F.avg("value").over(o.rowsBetween(-5, -1)), "last5"), F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("nth"))
 
@@ -286,7 +286,7 @@ _MEM = f"(SELECT team, d AS start_date, lead(d) OVER (PARTITION BY team ORDER BY
 
 
 @query(f"SELECT g.game_id, m.sector, g.d - m.start_date AS since, m.sector IS NOT NULL AS listed FROM {GAMES} g LEFT JOIN {_MEM} m ON m.team = g.home AND m.start_date <= g.d AND (m.end_date IS NULL OR g.d < m.end_date)")
-def j13_j14_j15_j16_as_of(spark, sf):
+def j12_interval_in_force(spark, sf):
     """The interval of an entity that holds at a date: sector, whether listed and alive."""
     first = _sides(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("team", "season").orderBy(*matchups.ORDER))).where("k = 1")
     changes = first.select(F.col("team").alias("home"), F.date_sub("d", 1).alias("released"), F.col("d").alias("start_date"), F.concat(F.lit("S"), F.col("game_id") % 3).alias("sector"))
@@ -316,6 +316,6 @@ def y23_last_sixteen(spark, sf):
 
 
 @query(f"SELECT season, count(*) AS n, count(*) FILTER (WHERE neutral) AS on_neutral, count(DISTINCT home) AS hosts, count(*) >= 100 AS complete, round(avg(CASE WHEN hs = vs THEN 1.0 ELSE 0 END), 6) AS draws FROM {GAMES} GROUP BY 1")
-def y43_y45_audits(spark, sf):
+def y43_fixture_counts(spark, sf):
     g = games(spark, sf)
     return g.groupBy("season").agg(F.count("*").alias("n"), F.count(F.when(F.col("neutral"), 1)).alias("on_neutral"), F.countDistinct("home").alias("hosts"), (F.count("*") >= 100).alias("complete"), r6(F.avg((F.col("hs") == F.col("vs")).cast("double")), "draws"))

@@ -140,7 +140,7 @@ def y1_simple_sharpe(spark, sf):
 
 
 @query(f"SELECT id, round(pa / (pa + pb), 6) AS open_a, round((pa + 0.01) / (pa + pb), 6) AS close_a, pa + pb > 1.0 AND pa + pb < 1.2 AS valid FROM (SELECT id, abs(ml_a) / (abs(ml_a) + 100) AS pa, 100 / (ml_b + 100) AS pb FROM {MONEYLINES}) WHERE pa IS NOT NULL")
-def p6_y37_y39_fair_pairs(spark, sf):
+def p6_valid_pairs(spark, sf):
     from .. import functions as fn
 
     m = moneylines(spark, sf)

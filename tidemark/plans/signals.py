@@ -100,7 +100,7 @@ def _scores(spark, sf):
 
 
 @query(f"SELECT d, ticker, round(1.0 / count(*) OVER (PARTITION BY d), 6) AS w FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, ticker) AS k FROM {_SCORES} WHERE score IS NOT NULL) WHERE k <= 5) WHERE score > 0")
-def k4_l9_l19_l24_t9_rotation(spark, sf):
+def k4_t9_rotation(spark, sf):
     """The five best by trailing return, those above 0, in equal parts."""
     return signals.picked(_scores(spark, sf), "score", 5).select("d", "ticker", r6("w", "w"))
 
@@ -149,7 +149,7 @@ _MACRO = "(SELECT CAST(o_orderdate AS DATE) AS obs, avg(o_totalprice) / 1000 AS
 
 
 @query(f"SELECT d, round(CASE WHEN v IS NULL THEN 0.8 WHEN v > 155 THEN 1.0 WHEN v < 145 THEN 0.6 ELSE 0.8 END, 6) AS w, coalesce(v > 150, false) AS held, round(coalesce(v, 2) / 252, 6) AS rate FROM (SELECT DISTINCT d FROM {PRICES}) p ASOF LEFT JOIN (SELECT obs + 30 AS released, v FROM {_MACRO}) m ON p.d > m.released")
-def l6_l11_l16_l17_j11_j18_macro(spark, sf):
+def j11_j18_macro(spark, sf):
     """Weights and switches from the last macro value released before the day; a default where there is none."""
     macro = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("obs")).agg((F.avg("o_totalprice") / 1000).alias("v"))
     got = asof.as_of_dates(prices(spark, sf).select("d").distinct(), asof.with_lag(macro, "obs", 30), "d", "released", ["v"])
