@@ -52,21 +52,24 @@ class Index:
 
     def __init__(self, ids: np.ndarray, depth: int):
         n = len(ids)
-        rank = ids.astype(np.int64)
-        span = 1
-        while span < depth:  # the rank of a place by its next 2 x span ids
+        rank, span = ids, 1
+        order = np.arange(n)
+        while span < depth:  # the order of places by their next 2 x span ids, and their ranks in it
             after = np.zeros(n, np.int64)
             after[: n - span] = rank[span:] + 1
-            key = rank * (rank.max(initial=0) + 2) + after
-            _, rank = np.unique(key, return_inverse=True)
+            key = rank * (int(rank.max(initial=0)) + 2) + after
+            order = np.argsort(key)
             span *= 2
-        order = np.argsort(rank, kind="stable")
-        before = np.zeros(n, np.int64)
-        before[order > 0] = ids[order[order > 0] - 1]
-        self.before, self.n = before, n
-        at = np.argsort(before, kind="stable")
-        self.places = before[at] * (n + 1) + at  # rows in order of the id in front, for counting by search
-        self.first = np.searchsorted(np.sort(ids), np.arange(int(ids.max(initial=0)) + 2))
+            if span < depth:
+                key = key[order]
+                rank = np.empty(n, np.int64)
+                rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        if depth == 1:
+            order = np.argsort(ids)
+        self.before = np.where(order > 0, ids[order - 1], 0)
+        self.n = n
+        self.places = np.sort(self.before * (n + 1) + np.arange(n))  # rows in order of the id in front, for counting by search
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
 
     def step(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Where the rows of a phrase with one more id in front start."""
@@ -172,7 +175,10 @@ def _pieces(ids: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, depth: int) -> Iterator[pd.DataFrame]:
-    """(lang, phrase, a) of each shard of a task. known: by language its words, or its pairs if shortest is over 2; None if nothing is known."""
+    """(lang, phrase, a) of each shard of a task. known: by language its words, or its pairs if shortest is over 2; None if nothing is known.
+
+    Pairs of known words are (lang, code, a): the words' places in the list, 32 bits each.
+    """
     codes: dict[str, Codes] = {}
     held: dict[str, list[np.ndarray]] = {}
     size: dict[str, int] = {}
@@ -181,6 +187,9 @@ def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, dept
         words = codes[lang].words()
         size.pop(lang)
         for said, count in phrases(np.concatenate(held.pop(lang)), shortest, depth):
+            if known is not None and depth == 2:
+                yield pd.DataFrame({"lang": lang, "code": (said[:, 0] << 32) | said[:, 1], "a": count})
+                continue
             for at in range(0, len(count), 100_000):
                 columns = [words[said[at : at + 100_000, k]].tolist() for k in range(said.shape[1])]
                 yield pd.DataFrame({"lang": lang, "phrase": [b" ".join(w) for w in zip(*columns)], "a": count[at : at + 100_000]})
@@ -199,6 +208,14 @@ def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, dept
         yield from counts(lang)
 
 
+def _named(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
+    """(lang, phrase, a) of coded pairs."""
+    for batch in batches:
+        words = [known.value[lang] for lang in batch["lang"]]
+        pairs = [w[(c >> 32) - 1] + b" " + w[(c & 0xFFFFFFFF) - 1] for w, c in zip(words, batch["code"].tolist())]
+        yield pd.DataFrame({"lang": batch["lang"], "phrase": pairs, "a": batch["a"]})
+
+
 def _known(found: DataFrame):
     """A broadcast of found (lang, phrase) by language, or None where it has more than KNOWN rows."""
     if found.limit(KNOWN + 1).count() > KNOWN:
@@ -220,7 +237,12 @@ def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[Da
     common = words.where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
     length = lambda rows: rows.withColumn("m", F.size(F.split("phrase", " ")))
     found, known = [common], _known(common)
-    pairs = kept(texts.mapInPandas(lambda b, known=known: _counted_phrases(b, known, 2, 2), schema))
+    if known is None:
+        pairs = kept(texts.mapInPandas(lambda b: _counted_phrases(b, None, 2, 2), schema))
+    else:
+        codes = texts.mapInPandas(lambda b, known=known: _counted_phrases(b, known, 2, 2), "lang string, code long, a long").groupBy("lang", "code").agg(F.sum("a").alias("a"))
+        pairs = codes.where(F.col("a") >= least).mapInPandas(lambda b, known=known: _named(b, known), schema)
+        pairs = saved(pairs.withColumn("phrase", F.col("phrase").cast("string")))
     found.append(pairs)
     if depth > 2:
         known = _known(pairs)
