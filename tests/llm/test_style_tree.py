@@ -72,3 +72,14 @@ def test_importance_by_the_plain_rule(spark):
         few, early = html_main.DAMPING**styles, html_main.DAMPING ** (m - 1)
         tree = (1 - few) * ((1 - html_main.LAYOUT) * own[p] + html_main.LAYOUT * layout) + few * (own[p] + branch) / 2
         assert math.isclose(got[p], (1 - early) * tree + early * html_main.ELSEWHERE, abs_tol=1e-9)
+
+
+def test_titles_frames_and_teasers():
+    text = lambda page: html_main.main_text(page, set())
+    assert text('<article><div class="article-header"><h1>Title</h1><p>Lead</p></div><p>Body of it</p><div class="comments">no</div></article>') == "Title Lead Body of it"
+    assert text('<div class="page-header">Site</div><div class="left-side"><p>Menu</p></div><article><p>Body</p></article>') == "Body"
+    assert text('<nav>menu</nav><div class="left-side"><p>Body text</p></div>') == "Body text"
+    assert text('<form><nav>menu</nav><p>Body</p><div class="ads">buy</div><div class="comments">no</div></form>') == "Body"
+    assert text('<form><div class="ads">buy</div></form><nav>menu</nav>') == ""
+    assert text('<div><p>A long text that is what the page is about and more of it</p></div><article>Teaser</article>').startswith("A long text")
+    assert text('<p>Short</p><article>A longer article that holds most of the page</article>') == "A longer article that holds most of the page"

@@ -48,6 +48,10 @@ _NOISE_NAMES = frozenset(
     "related recommended recommendations widget toolbar skip search".split()
 )
 _COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Names and tags that a page's own frame may have: they discard a text only where the page has others. A header inside an article is its title.
+_SOFT_NAMES = frozenset(("side", "header"))
+#: An article or main element is the page's text if it holds this share of what is kept.
+MAIN_SHARE = 0.5
 #: A class such as ad-slot, menu-item or comment-list names noise by its first part, with-sidebar names none.
 _PARTS = frozenset("area bar block body box column container content group inner item items left link links list outer panel region right row section slot text top bottom unit wrap wrapper".split())
 _ADORNED = frozenset("with has have no without is not show hide".split())
@@ -69,9 +73,9 @@ def _noise_word(name: str) -> str:
     return parts[0] if parts[0] in _NOISE_NAMES and parts[-1] in _PARTS else ""
 
 
-def _node(tag: str, rest: str) -> tuple[str, str]:
-    """Style of an element, and what names it as noise: its tag, role or state (`tag`), comments or other names, or nothing."""
-    by_tag = "tag" if tag in _NOISE_TAGS and tag != "form" else "name" if tag == "form" else ""
+def _node(tag: str, rest: str, inside: bool = False) -> tuple[str, str]:
+    """Style of an element, and what names it as noise: its tag, role or state (`tag`), comments, other names, only a form or a soft name (`soft`), or nothing. inside: it stands in an article."""
+    by_tag = "tag" if tag in _NOISE_TAGS and tag != "form" else "soft" if tag == "form" else ""
     if "=" not in rest and "hidden" not in rest:
         return tag, by_tag
     own = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)}
@@ -79,7 +83,10 @@ def _node(tag: str, rest: str) -> tuple[str, str]:
     words = {_noise_word(n) for n in classes + own.get("id", "").split()} - {""}
     if own.get("role") in _NOISE_ROLES or own.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|$)", rest):
         by_tag = "tag"
-    noise = by_tag or ("comment" if words & _COMMENT_NAMES else "name" if words else "")
+    if inside:
+        words.discard("header")
+    by_name = "comment" if words & _COMMENT_NAMES else "name" if words - _SOFT_NAMES else "soft" if words else ""
+    noise = by_tag if by_tag == "tag" else by_name if by_name in ("comment", "name") else by_tag or by_name
     return ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})]), noise
 
 
@@ -90,9 +97,9 @@ class _Open:
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path of styles, text, named as noise, inside an article) of every block of text, in the page's order."""
-    found: list[tuple[str, str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, str, str, bool]]:
+    """(path of styles, text, what names it as noise, inside an article) of every block of text, in the page's order."""
+    found: list[tuple[str, str, str, bool]] = []
     stack = [_Open("", "", "", False)]
     text: list[str] = []
     at, end = 0, len(page)
@@ -100,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     def flush() -> None:
         if text:
             if whole := _WHITE.sub(" ", entities.unescape("".join(text))).strip():
-                found.append((stack[-1].path, whole, bool(stack[-1].noise), stack[-1].main))
+                found.append((stack[-1].path, whole, stack[-1].noise, stack[-1].main))
             text.clear()
 
     def close(upto: int) -> None:
@@ -151,14 +158,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 close(k)
                 if tag not in _CLOSES:
                     break
-        style, noise = _node(tag, token[3])
         above = stack[-1]
+        style, noise = _node(tag, token[3], above.main)
         if tag == "header" and above.main or tag in ("html", "body"):
             noise = ""
         # a name on a wrapper, or a form around the page, does not discard the article inside it
-        held = "" if tag in _MAIN and above.noise == "name" and not above.main else above.noise
+        held = "" if tag in _MAIN and above.noise in ("name", "soft") and not above.main else above.noise
         if not token[3].endswith("/"):
-            stack.append(_Open(tag, f"{above.path}/{style}", held or noise, above.main or tag in _MAIN and not (held or noise)))
+            strong = noise if held == "soft" and noise else held or noise
+            stack.append(_Open(tag, f"{above.path}/{style}", strong, above.main or tag in _MAIN and not (held or noise)))
     flush()
     return found
 
@@ -170,11 +178,16 @@ def _hash(text: str) -> int:
 
 
 def main_blocks(page: str, removed: set[int], by_name: bool = True) -> tuple[list[str], int, int]:
-    """The texts that are neither of a removed node nor named as noise, those of an article where one has any; how many blocks there are, and of removed nodes."""
+    """The texts that are neither of a removed node nor named as noise, those of an article where it holds most of them; how many blocks there are, and of removed nodes.
+
+    Where nothing else is left, what only a form or a soft name discards is kept.
+    """
     every = blocks(page)
     kept = [b for b in every if _hash(b[0]) not in removed] if removed else every
-    good = [b for b in kept if not b[2]] if by_name else kept
+    good = ([b for b in kept if not b[2]] or [b for b in kept if b[2] == "soft"]) if by_name else kept
     inside = [b[1] for b in good if b[3]] if by_name else []
+    if sum(map(len, inside)) < MAIN_SHARE * sum(len(b[1]) for b in good):
+        inside = []
     return inside or [b[1] for b in good], len(every), len(every) - len(kept)
 
 
