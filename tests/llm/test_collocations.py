@@ -71,3 +71,12 @@ def test_odd_tables(spark):
     assert collocations.mined(spark.createDataFrame([(None, None), ("en", ""), ("en", "one two")], schema)).count() == 0
     long = spark.createDataFrame([("en", "one two three. " * 60_000)], schema)
     assert [tuple(r) for r in collocations.mined(long).collect()] == [("en", 1, "one two three", 60_000, 60_000, 60_000, 180_000, 3000)]
+
+
+def test_breaks_where_no_known_phrase_is():
+    codes = collocations.Codes(None, [b"a b c", b"b c d", b"d e f"])
+    word = {v: k for k, v in codes.ids.items()}
+    said = lambda text: "".join("|" if k == 0 else word[k].decode() for k in codes.of(text))
+    assert said(b"x a b c d e f a b") == "abcd|def|" and said(b"a b. c d") == "" and said(b"a b") == "" and said(b"") == "" and said(b"a b c") == "abc|"
+    pairs = collocations.Codes(None, [b"a b", b"b a"])
+    assert len(pairs.of(b"a b a b x b a")) == 4 + 1 + 2 + 1 and len(collocations.Codes(None, []).of(b"a b")) == 0

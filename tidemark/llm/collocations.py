@@ -5,8 +5,8 @@ and two Burrows-Wheeler transforms, of the sequence and of its reverse, answer f
 right of all places of a phrase. Starting with the words, every interval is extended by one word up to the depth; an interval's
 width is the phrase's count in the shard. Counts are summed across shards.
 
-A phrase reaches LEAST only if its parts do. So words are counted first, then pairs of words that reach it, then phrases all whose pairs
-do; other words and pairs are breaks. What reaches LEAST is broadcast only up to KNOWN rows; beyond, nothing is
+A phrase reaches LEAST only if its parts do. So words are counted first, then pairs of words that reach it, then threes of such pairs, then longer
+phrases of such threes; other words, pairs and threes are breaks. What reaches LEAST is broadcast only up to KNOWN rows; beyond, nothing is
 ruled out beforehand and all phrases are shuffled: the result is the same.
 """
 
@@ -29,7 +29,7 @@ DEPTH = 5
 SHOWN = 2000
 #: Words of a shard: about 300 MB in a task.
 SHARD = 2_000_000
-#: Words or pairs that reach LEAST are broadcast up to so many.
+#: Words, pairs or threes that reach LEAST are broadcast up to so many.
 KNOWN = 1_000_000
 #: Different words that a task counts before it hands on its counts.
 HELD = 500_000
@@ -133,14 +133,34 @@ def _counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Codes:
-    """Ids of one language's words and, where given, the pairs that stay together; other words and pairs are breaks."""
+    """Ids of one language's words and, where given, the phrases of two or three words that stay together; other words and phrases are breaks."""
 
-    def __init__(self, words: list[bytes] | None, pairs: list[bytes] | None = None):
-        self.open = words is None and pairs is None
-        pairs = pairs and [p.split(b" ") for p in pairs]
-        self.ids = {w: k for k, w in enumerate(words if words is not None else dict.fromkeys(w for p in pairs or () for w in p), 1)}
+    def __init__(self, words: list[bytes] | None, phrases: list[bytes] | None = None):
+        self.open = words is None and phrases is None
+        split = [p.split(b" ") for p in phrases or ()]
+        self.ids = {w: k for k, w in enumerate(words if words is not None else dict.fromkeys(w for p in split for w in p), 1)}
         self.ids[_BREAK], self.ids[b""] = 0, -1
-        self.pairs = None if pairs is None else np.sort(np.array([self.ids[a] * len(self.ids) + self.ids[b] for a, b in pairs], np.int64))
+        self.size = None if phrases is None else max(map(len, split), default=2)
+        if self.size is not None:
+            coded = np.array([[self.ids[w] for w in p] for p in split], np.int64).reshape(-1, self.size)
+            self.known = []  # of each length the sorted codes: the place of all words but the last, and the last
+            place = coded[:, 0] if len(coded) else np.zeros(0, np.int64)
+            for k in range(1, self.size):
+                codes = place * len(self.ids) + coded[:, k]
+                self.known.append(np.unique(codes))
+                place = np.searchsorted(self.known[-1], codes)
+
+    def _together(self, ids: np.ndarray) -> np.ndarray:
+        """Whether a known phrase begins at each place."""
+        n = len(ids) - self.size + 1
+        place, good = ids[:n], ids[:n] > 0
+        for k, known in enumerate(self.known, 1):
+            if not len(known):
+                return np.zeros(n, bool)
+            codes = place * len(self.ids) + ids[k : n + k]
+            place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            good &= (known[place] == codes) & (ids[k : n + k] > 0)
+        return good
 
     def of(self, text: bytes) -> np.ndarray:
         said = tokens(text)
@@ -149,14 +169,19 @@ class Codes:
         else:
             ids = np.fromiter(map(self.ids.get, said, repeat(0)), np.int64, len(said))
         ids = ids[ids >= 0]
-        if self.pairs is None or len(ids) < 2:
+        if self.size is None:
             return ids
-        key = ids[:-1] * len(self.ids) + ids[1:]
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        together = (self.pairs[at] == key) & (ids[:-1] > 0) & (ids[1:] > 0) if len(self.pairs) else np.zeros(len(key), bool)
-        after = np.append(together, False)
-        kept = after | np.append(False, together)
-        return np.insert(ids[kept], np.flatnonzero(~after[kept]) + 1, 0)
+        if len(ids) < self.size:
+            return ids[:0]
+        good = np.flatnonzero(self._together(ids))
+        if not len(good):
+            return good
+        first = np.concatenate([[True], good[1:] != good[:-1] + 1])  # runs of places; a run's words and a break after it
+        start, end = good[first], np.concatenate([good[np.flatnonzero(first)[1:] - 1], good[-1:]]) + self.size
+        width = end - start + 1
+        at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        where = np.repeat(start, width) + at
+        return np.where(at < np.repeat(width - 1, width), ids[np.minimum(where, len(ids) - 1)], 0)
 
     def words(self) -> np.ndarray:
         out = np.empty(max(self.ids.values()) + 1, object)
@@ -175,7 +200,7 @@ def _pieces(ids: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, depth: int) -> Iterator[pd.DataFrame]:
-    """(lang, phrase, a) of each shard of a task. known: by language its words, or its pairs if shortest is over 2; None if nothing is known.
+    """(lang, phrase, a) of each shard of a task. known: by language its words, or phrases of two or three words if shortest is over 2; None if nothing is known.
 
     Pairs of known words are (lang, code, a): the words' places in the list, 32 bits each.
     """
@@ -244,9 +269,10 @@ def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[Da
         pairs = codes.where(F.col("a") >= least).mapInPandas(lambda b, known=known: _named(b, known), schema)
         pairs = saved(pairs.withColumn("phrase", F.col("phrase").cast("string")))
     found.append(pairs)
-    if depth > 2:
-        known = _known(pairs)
-        found.append(kept(texts.mapInPandas(lambda b, known=known: _counted_phrases(b, known, 3, depth), schema)))
+    for shortest, longest in ((3, 3), (4, depth)):
+        if shortest <= min(longest, depth):
+            known = _known(found[-1])
+            found.append(kept(texts.mapInPandas(lambda b, known=known, shortest=shortest, longest=longest: _counted_phrases(b, known, shortest, longest), schema)))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
