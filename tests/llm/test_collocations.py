@@ -80,3 +80,10 @@ def test_breaks_where_no_known_phrase_is():
     assert said(b"x a b c d e f a b") == "abcd|def|" and said(b"a b. c d") == "" and said(b"a b") == "" and said(b"") == "" and said(b"a b c") == "abc|"
     pairs = collocations.Codes(None, [b"a b", b"b a"])
     assert len(pairs.of(b"a b a b x b a")) == 4 + 1 + 2 + 1 and len(collocations.Codes(None, []).of(b"a b")) == 0
+
+
+def test_codes_of_phrases_come_back():
+    for known, phrases in ((([b"b", b"a", b"c"],), [b"a b", b"b b", b"c a"]), ((None, [b"a b", b"b c", b"c a", b"b b"]), [b"a b c", b"b b b", b"c a b"])):
+        codes = collocations.Codes(*known)
+        said = np.array([[codes.ids[w] for w in p.split()] for p in phrases])
+        assert codes.decoded(codes.coded(said)) == phrases

@@ -183,6 +183,23 @@ class Codes:
         where = np.repeat(start, width) + at
         return np.where(at < np.repeat(width - 1, width), ids[np.minimum(where, len(ids) - 1)], 0)
 
+    def coded(self, said: np.ndarray) -> np.ndarray:
+        """One number for each phrase that is one word longer than what is known: the place of the known phrase it begins with, and its last word."""
+        place = said[:, 0]
+        for k, known in enumerate(self.known if self.size is not None else (), 1):
+            place = np.searchsorted(known, place * len(self.ids) + said[:, k])
+        return place * len(self.ids) + said[:, -1]
+
+    def decoded(self, codes: np.ndarray) -> list[bytes]:
+        words, parts = self.words(), []
+        place = np.asarray(codes, np.int64)
+        for known in [None, *reversed(self.known if self.size is not None else ())]:
+            place = place if known is None else known[place]
+            parts.append(words[place % len(self.ids)].tolist())
+            place = place // len(self.ids)
+        parts.append(words[place].tolist())
+        return [b" ".join(p) for p in zip(*reversed(parts))]
+
     def words(self) -> np.ndarray:
         out = np.empty(max(self.ids.values()) + 1, object)
         for w, k in self.ids.items():
@@ -202,7 +219,7 @@ def _pieces(ids: np.ndarray) -> Iterator[np.ndarray]:
 def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, depth: int) -> Iterator[pd.DataFrame]:
     """(lang, phrase, a) of each shard of a task. known: by language its words, or phrases of two or three words if shortest is over 2; None if nothing is known.
 
-    Pairs of known words are (lang, code, a): the words' places in the list, 32 bits each.
+    Phrases of two or three words, all whose parts are known, are (lang, code, a); see Codes.coded.
     """
     codes: dict[str, Codes] = {}
     held: dict[str, list[np.ndarray]] = {}
@@ -212,8 +229,8 @@ def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, dept
         words = codes[lang].words()
         size.pop(lang)
         for said, count in phrases(np.concatenate(held.pop(lang)), shortest, depth):
-            if known is not None and depth == 2:
-                yield pd.DataFrame({"lang": lang, "code": (said[:, 0] << 32) | said[:, 1], "a": count})
+            if known is not None and depth <= 3:
+                yield pd.DataFrame({"lang": lang, "code": codes[lang].coded(said), "a": count})
                 continue
             for at in range(0, len(count), 100_000):
                 columns = [words[said[at : at + 100_000, k]].tolist() for k in range(said.shape[1])]
@@ -222,8 +239,7 @@ def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, dept
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             if lang not in codes or codes[lang].open and lang not in held:
-                mine = None if known is None else known.value.get(lang, [])
-                codes[lang] = Codes(mine) if shortest <= 2 else Codes(None, mine)
+                codes[lang] = _codes(known, lang, shortest)
             for part in _pieces(codes[lang].of(bytes(text))):
                 held.setdefault(lang, []).extend([part, np.zeros(1, np.int64)])
                 size[lang] = size.get(lang, 0) + len(part) + 1
@@ -233,12 +249,18 @@ def _counted_phrases(batches: Iterator[pd.DataFrame], known, shortest: int, dept
         yield from counts(lang)
 
 
-def _named(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
-    """(lang, phrase, a) of coded pairs."""
+def _codes(known, lang: str, shortest: int) -> Codes:
+    mine = None if known is None else known.value.get(lang, [])
+    return Codes(mine) if shortest <= 2 else Codes(None, mine)
+
+
+def _named(batches: Iterator[pd.DataFrame], known, shortest: int) -> Iterator[pd.DataFrame]:
+    """(lang, phrase, a) of coded phrases."""
+    codes: dict[str, Codes] = {}
     for batch in batches:
-        words = [known.value[lang] for lang in batch["lang"]]
-        pairs = [w[(c >> 32) - 1] + b" " + w[(c & 0xFFFFFFFF) - 1] for w, c in zip(words, batch["code"].tolist())]
-        yield pd.DataFrame({"lang": batch["lang"], "phrase": pairs, "a": batch["a"]})
+        for lang, rows in batch.groupby("lang"):
+            codes[lang] = codes.get(lang) or _codes(known, lang, shortest)
+            yield pd.DataFrame({"lang": lang, "phrase": codes[lang].decoded(rows["code"].to_numpy()), "a": rows["a"].to_numpy()})
 
 
 def _known(found: DataFrame):
@@ -261,18 +283,18 @@ def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) -> tuple[Da
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     common = words.where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
     length = lambda rows: rows.withColumn("m", F.size(F.split("phrase", " ")))
-    found, known = [common], _known(common)
-    if known is None:
-        pairs = kept(texts.mapInPandas(lambda b: _counted_phrases(b, None, 2, 2), schema))
-    else:
-        codes = texts.mapInPandas(lambda b, known=known: _counted_phrases(b, known, 2, 2), "lang string, code long, a long").groupBy("lang", "code").agg(F.sum("a").alias("a"))
-        pairs = codes.where(F.col("a") >= least).mapInPandas(lambda b, known=known: _named(b, known), schema)
-        pairs = saved(pairs.withColumn("phrase", F.col("phrase").cast("string")))
-    found.append(pairs)
-    for shortest, longest in ((3, 3), (4, depth)):
-        if shortest <= min(longest, depth):
-            known = _known(found[-1])
-            found.append(kept(texts.mapInPandas(lambda b, known=known, shortest=shortest, longest=longest: _counted_phrases(b, known, shortest, longest), schema)))
+    found = [common]
+    for shortest, longest in ((2, 2), (3, 3), (4, depth)):
+        if shortest > depth or longest < shortest:
+            break
+        known = _known(found[-1])
+        counts = lambda b, known=known, shortest=shortest, longest=longest: _counted_phrases(b, known, shortest, longest)
+        if known is None or longest > 3:
+            found.append(kept(texts.mapInPandas(counts, schema)))
+            continue
+        codes = texts.mapInPandas(counts, "lang string, code long, a long").groupBy("lang", "code").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        named = codes.mapInPandas(lambda b, known=known, shortest=shortest: _named(b, known, shortest), schema)
+        found.append(saved(named.withColumn("phrase", F.col("phrase").cast("string"))))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
