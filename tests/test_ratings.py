@@ -64,6 +64,18 @@ def test_latest_are_the_current_ratings_highest_first(spark):
         assert {r.side: r.rating for r in got}["a"] == pytest.approx(1500 + (after[1] - 1500) * left)
 
 
+def test_a_side_that_sat_a_season_out_is_rated_before_its_finals(spark):
+    rows = [("x", 2000, "a", "b", 9, 0, 0, None, False), ("x", 2001, "c", "b", 9, 0, 1, None, False), ("x", 2003, "a", "c", 9, 0, 2, None, False)]
+    games = spark.createDataFrame([(g[0], k, *g[1:]) for k, g in enumerate(rows)], SCHEMA).withColumn("share", F.lit(1.0))
+    for config, left in ((ratings.Config(), (0.75, 0.75**2)), (ratings.Config(yearly=True), (0.75, 0.75**3))):
+        rated = ratings.rate(games, ["league"], config)
+        after = {r.seq: r for r in rated.collect()}
+        got = {(r.season, r.side): r.rating for r in ratings.snapshots(rated, ["league"], "share > 0", config).collect()}
+        assert len(got) == 8 and got[2000, "a"] == after[0].after_a and got[2003, "a"] == after[2].after_a
+        assert got[2001, "a"] == pytest.approx(1500 + (after[0].after_a - 1500) * left[0])
+        assert got[2003, "b"] == pytest.approx(1500 + (after[1].after_b - 1500) * (0.75 if not config.yearly else 0.75**2))
+
+
 @pytest.mark.parametrize("config", [ratings.Config(), ratings.Config(k=4, home=24, kept=0.6, margin="signed"), ratings.Config(margin=None, late=1.0, decay=0.3, yearly=True)])
 def test_ratings_are_those_of_a_plain_loop(spark, config):
     games = rated_games(spark, SMALL)

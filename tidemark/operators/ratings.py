@@ -185,7 +185,7 @@ def snapshots(rated: DataFrame, by: list[str], regular: str, config: Config = Co
     named = key(seasons, ["_all"])
     whole = per.groupBy(*by, "side").agg(F.collect_list(F.struct("season", "now", "end")).alias("_had"))
     grid = whole.join(named, same(whole, named)).select(*by, "side", "_had", F.posexplode("_all").alias("_at", "season"))
-    mine = F.filter("_had", lambda h: h["season"] == F.col("season"))[0]
+    mine = F.get(F.filter("_had", lambda h: h["season"] == F.col("season")), F.lit(0))  # null for a season sat out
     grid = grid.where(F.array_min(F.transform("_had", lambda h: h["season"])) <= F.col("season")).select(*by, "side", "_at", "season", mine["now"].alias("now"), mine["end"].alias("end"))
     w = W.partitionBy(*by, "side").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     last = F.last(F.when(F.col("end").isNotNull(), F.struct("_at", "season", "end")), ignorenulls=True).over(w)
