@@ -100,3 +100,18 @@ def test_draw_curves_and_slopes(spark):
     slopes = {r.g: (r.n, r.slope) for r in calibrate.gap_slope(df, ["g"], "gap", "d").collect()}
     assert slopes["few"] == (1, 0.0) and slopes["all"][0] == 4000
     assert abs(slopes["all"][1] - _newton(gaps[:, None], drawn, np.zeros(1))[0]) < 1e-7
+
+
+def test_fits_with_other_features_and_penalties_side_by_side_and_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-(0.3 + a - b))))) for g in ["a", None] for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int")
+    uses = {"both": [1.0, 1.0], "b": [0.0, 0.5]}
+    monkeypatch.setattr(calibrate, "SIDE_BY_SIDE", 2)
+    got = {(r.config, r.g): r for r in calibrate.fitted(df, ["g"], ["a", "b"], ridge=1.0, uses=uses).collect()}
+    assert len(got) == 4
+    for g in ("a", None):
+        mine = np.array([(1, a, b, y) for k, a, b, y in rows if k == g])
+        assert np.allclose(got["both", g].coef, _newton(mine[:, :3], mine[:, 3], np.array([0, 1.0, 1.0])), atol=1e-6)
+        alone = _newton(mine[:, [0, 2]], mine[:, 3], np.array([0, 4.0]))
+        assert np.allclose(got["b", g].coef, [alone[0], 0, alone[1]], atol=1e-6) and got["b", g].n == 300
