@@ -117,3 +117,16 @@ def test_a_restarted_stream_rates_as_the_batch_does(spark, tmp_path):
     off = [F.max(F.abs(F.col(f"l.{c}") - F.col(f"r.{c}"))).alias(c) for c in ratings.OUT]
     row = both.agg(F.count("*").alias("n"), *off).first()
     assert row.n == games.count() > 300 and max(row[1:]) < 1e-9
+
+
+def test_a_grid_reads_each_game_once_and_rates_as_each_configuration_does(spark):
+    games = rated_games(spark, SMALL).withColumns({"cls": F.when(F.col("seq") % 3 > 0, F.concat(F.lit("c"), F.col("seq") % 3)), "finished": F.col("seq") % 4 == 0})
+    grid = {"a": ratings.Config(), "b": ratings.Config(k=40.0, home=0.0, kept=0.5, late=1.0, finish=1.1), "c": ratings.Config(margin="signed", start=1000.0, decay=0.2, change=0.1, early=(3, 1.5), yearly=True)}
+    once = ratings.rate_side_by_side(games, ["league"], list(grid.values()), ["rating_a"])
+    assert once.count() == games.count() and {len(r.rating_a) for r in once.limit(50).collect()} == {3}
+    both = ratings.rate(games, ["league"], grid)
+    for name, config in grid.items():
+        one, met = ratings.rate(games, ["league"], config), both.where(F.col("config") == name)
+        off = [F.max(F.abs(F.col(f"l.{c}") - F.col(f"r.{c}"))).alias(c) for c in ratings.OUT]
+        row = met.alias("l").join(one.alias("r"), "seq").agg(F.count("*").alias("n"), F.sum((F.col("l.class_a").isNull() != F.col("r.class_a").isNull()).cast("int")).alias("nulls"), *off).first()
+        assert row.n == games.count() and row.nulls == 0 and max(row[2:]) < 1e-9

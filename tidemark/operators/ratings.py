@@ -1,17 +1,20 @@
 """Ratings of two sides, updated game after game.
 
 A rating depends on the one before, so a league's games are folded in order. They are dealt to tasks by league, sorted there
-and streamed in batches; a task keeps the current ratings and nothing else, whatever the number of games. Leagues,
-seasons of other leagues and configurations run side by side. The same fold keeps ratings live on a stream (streaming.live).
+and streamed in batches; a task keeps the current ratings and nothing else, whatever the number of games. Leagues
+run side by side; configurations move with each game, as arrays. The same fold keeps ratings live on a stream (streaming.live).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,6 +134,15 @@ def plain_rows(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
     return zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in columns])
 
 
+def stacked(configs: list[Config]) -> list[tuple[list[int], Config]]:
+    """Configurations that differ in numbers only, as one of arrays with their places: a fold of it moves all of them with each game."""
+    alike: dict = {}
+    for at, c in enumerate(configs):
+        alike.setdefault((c.yearly, c.margin, c.even_draws, c.decay, c.change, c.early), []).append(at)
+    over = lambda at, name: np.array([getattr(configs[k], name) for k in at])
+    return [(at, replace(configs[at[0]], **{name: over(at, name) for name in ("k", "home", "start", "kept", "late", "finish")})) for at in alike.values()]
+
+
 def rate(games: DataFrame, by: list[str], config: Config | dict[str, Config] = Config()) -> DataFrame:  # noqa: B008
     """games with rating_a, rating_b and expected as they were before each game, league (by) by league in order of (seq, side_a, side_b).
 
@@ -139,23 +151,55 @@ def rate(games: DataFrame, by: list[str], config: Config | dict[str, Config] = C
     With a dictionary each of its configurations rates all games, named in `config`. Games without a score are left out; a null
     league is a league.
     """
-    configs = config if isinstance(config, dict) else {"": config}
-    rows = completed(games, by).withColumn("config", F.explode(F.array(*[F.lit(n) for n in configs])))
-    key = ["config", *by]
+    if isinstance(config, dict):
+        name = F.element_at(F.array(*[F.lit(n) for n in config]), F.col("_r._at") + 1).alias("config")
+        rated = rate_side_by_side(games, by, list(config.values()))
+        rows = rated.select(*[c for c in rated.columns if c not in OUT], F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(len(config) - 1)).alias("_at"), *OUT)).alias("_r"))
+        return rows.select(*[c for c in rows.columns if c != "_r"], name, *[F.col(f"_r.{c}").alias(c) for c in OUT])
+    rows = completed(games, by)
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, fold = None, None
         for batch in batches:
             got = []
-            for league, row in zip(plain_rows(batch, key), plain_rows(batch, GAME)):
+            for league, row in zip(plain_rows(batch, by) if by else repeat(()), plain_rows(batch, GAME)):
                 if league != now:
-                    now, fold = league, Fold(configs[league[0]])
+                    now, fold = league, Fold(config)
                 got.append(fold.game(*row))
             yield batch.assign(**{c: pd.Series([t[i] for t in got], index=batch.index, dtype=float) for i, c in enumerate(OUT)})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {c} double" for c in OUT)
-    got = rows.repartition(*key).sortWithinPartitions(*key, "seq", "side_a", "side_b").mapInPandas(folded, schema)
-    return got if isinstance(config, dict) else got.drop("config")
+    return _in_order(rows, by).mapInPandas(folded, schema)
+
+
+def _in_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    return (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "seq", "side_a", "side_b")  # one league, one order
+
+
+def rate_side_by_side(games: DataFrame, by: list[str], configs: list[Config], out: list[str] = OUT) -> DataFrame:
+    """games with the columns `out` of rate as arrays, a number for each configuration: a game is dealt and read once for all of them."""
+    rows = completed(games, by)
+    places = [OUT.index(c) for c in out]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, folds = None, []
+        for batch in batches:
+            frame = batch.to_pandas()
+            got = {i: np.full((len(frame), len(configs)), np.nan) for i in places}
+            for r, (league, row) in enumerate(zip(plain_rows(frame, by) if by else repeat(()), plain_rows(frame, GAME))):
+                if league != now or not folds:
+                    now, folds = league, [(at if len(at) < len(configs) else slice(None), Fold(c)) for at, c in stacked(configs)]
+                for at, fold in folds:
+                    figures = fold.game(*row)
+                    for i in places:
+                        if figures[i] is not None:
+                            got[i][r, at] = figures[i]
+            ends = pa.array(np.arange(0, (len(frame) + 1) * len(configs), len(configs), dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(got[i].ravel(), from_pandas=True)) for i in places]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, *out])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {c} array<double>" for c in out)
+    return _in_order(rows, by).mapInArrow(folded, schema)
 
 
 def latest(rated: DataFrame, by: list[str], config: Config = Config()) -> DataFrame:  # noqa: B008

@@ -81,11 +81,13 @@ _GRID = {f"k{k}-h{h}-m{m}": ratings.Config(k=float(k), home=float(h), kept=m) fo
 
 def _graded(spark, sf):
     """Every configuration's games with a gap of ratings and an outcome of three, draws among them."""
-    rated = ratings.rate(rated_games(spark, sf), ["league"], _GRID)
-    home = F.element_at(F.create_map(*[F.lit(x) for n, c in _GRID.items() for x in (n, c.home)]), F.col("config"))
-    gap = F.col("rating_a") - F.col("rating_b") + F.when(F.col("neutral"), 0.0).otherwise(home)
+    rated = ratings.rate_side_by_side(rated_games(spark, sf), ["league"], list(_GRID.values()), ["rating_a", "rating_b"])
     won = F.when(F.col("score_a") > F.col("score_b"), 0).when(F.col("score_a") < F.col("score_b"), 2).otherwise(1)
-    return rated.select("config", "season", gap.alias("gap"), "expected", won.alias("c"), (won == 1).cast("int").alias("drawn"))
+    grid = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(c.home).alias("home")) for n, c in _GRID.items()])
+    each = rated.select("season", "neutral", won.alias("c"), F.explode(F.arrays_zip(grid.alias("g"), "rating_a", "rating_b")).alias("r"))
+    gap = F.col("r.rating_a") - F.col("r.rating_b") + F.when(F.col("neutral"), 0.0).otherwise(F.col("r.g.home"))
+    each = each.select(F.col("r.g.config").alias("config"), "season", gap.alias("gap"), "c")
+    return each.select("config", "season", "gap", (1 / (1 + F.pow(F.lit(10.0), -F.col("gap") / 400))).alias("expected"), "c", (F.col("c") == 1).cast("int").alias("drawn"))
 
 
 def _three(rows, curve):
