@@ -163,3 +163,26 @@ def test_cells_keep_the_digit_of_their_column(spark):
 
     got = files.percent_block(spark.createDataFrame([("x\n20240102, 1.51, 2.2\n",)], "value string"), ["a", "b"]).first()
     assert (got.a, got.b) == (pytest.approx(0.0151), pytest.approx(0.022))
+
+
+def test_a_bankroll_past_what_a_double_holds_keeps_its_drawdown(spark):
+    bets = spark.createDataFrame([("g", t, 0.5, 2.0 if t < 2000 else -1.0) for t in range(2002)], "g string, t int, f double, x double")
+    last = portfolio.bankroll(bets, ["g"], ["t"]).orderBy(F.desc("t")).first()
+    assert abs(last.log_roll - 1998 * np.log(2)) < 1e-6 and abs(last.dd + 0.75) < 1e-9
+
+
+def test_states_of_few_rows_are_left_out_by_query_and_sql(spark, tmp_path):
+    import duckdb
+    from oracle import differs
+
+    from tidemark.plans import signals as plans
+    from tidemark.plans.queries import ORACLES
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    first = rows.agg(F.min("l_shipdate")).first()[0]
+    rows.where(F.datediff("l_shipdate", F.lit(first)) < 145).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.w39_t38_t43_y48_y49_states(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert set(got.state) == {"early"} and (got.share < 1).all()
+    assert not differs(got, con.sql(ORACLES["w39_t38_t43_y48_y49_states"]).df())

@@ -88,7 +88,14 @@ def cvar(rets: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
 
 
 def bankroll(bets: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Growth of a bankroll that stakes `f` at profit `x` per unit, bet after bet, and its drawdown: a closed form over logs."""
+    """Growth of a bankroll that stakes `f` at profit `x` per unit, bet after bet, and its drawdown: a closed form over logs.
+
+    log_roll is the log of its size, minus infinity after a total loss; logs are summed as decimals, so that no order of adding shows. The drawdown is taken from logs, as many bets may carry `roll` itself past what a double holds.
+    """
     o = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    path = bets.withColumn("roll", compounded(F.col("f") * F.col("x"), o))
-    return path.withColumn("dd", F.col("roll") / F.greatest(F.lit(1.0), F.max("roll").over(o)) - 1)
+    grown = 1 + F.coalesce(F.col("f") * F.col("x"), F.lit(0.0))
+    size = F.when(F.max((grown == 0).cast("int")).over(o) == 1, F.lit(float("-inf"))).otherwise(F.sum(F.when(grown != 0, F.log(F.abs(grown))).otherwise(0.0).cast("decimal(24,15)")).over(o).cast("double"))
+    sign = F.when(F.sum((grown < 0).cast("int")).over(o) % 2 == 1, -1.0).otherwise(1.0)
+    path = bets.withColumn("roll", compounded(F.col("f") * F.col("x"), o)).withColumn("log_roll", size).withColumn("_sign", sign)
+    peak = F.greatest(F.lit(0.0), F.max(F.when(F.col("_sign") > 0, F.col("log_roll"))).over(o))
+    return path.withColumn("dd", F.col("_sign") * F.exp(F.col("log_roll") - peak) - 1).drop("_sign")
