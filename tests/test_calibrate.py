@@ -115,3 +115,16 @@ def test_fits_with_other_features_and_penalties_side_by_side_and_in_turns(spark,
         assert np.allclose(got["both", g].coef, _newton(mine[:, :3], mine[:, 3], np.array([0, 1.0, 1.0])), atol=1e-6)
         alone = _newton(mine[:, [0, 2]], mine[:, 3], np.array([0, 4.0]))
         assert np.allclose(got["b", g].coef, [alone[0], 0, alone[1]], atol=1e-6) and got["b", g].n == 300
+
+
+def test_draw_curves_of_arrays_are_those_of_each_place_alone(spark):
+    rng = random.Random(9)
+    rows = [([rng.gauss(0, 100), rng.gauss(0, 200), rng.gauss(50, 300)], int(rng.random() < 0.25)) for _ in range(500)] + [([1.0, None, 2.0], 1), (None, 0), ([0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "gaps array<double>, d int")
+    got = sorted(tuple(r) for r in calibrate.draw_curves(df, "gaps", "d").collect())
+    flat = df.where("d is not null and not exists(gaps, g -> g is null)").select("d", F.posexplode("gaps").alias("at", "gap"))
+    want = sorted(tuple(r) for r in calibrate.draw_curve(flat, ["at"], "gap", "d").collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] == [(0, 500), (1, 500), (2, 500)]
+    for g, w in zip(got, want):
+        assert all(a == b or a == pytest.approx(b, rel=1e-6) for a, b in zip(g, w))
+    assert calibrate.draw_curves(df.limit(0), "gaps", "d").count() == 0

@@ -80,28 +80,30 @@ _GRID = {f"k{k}-h{h}-m{m}": ratings.Config(k=float(k), home=float(h), kept=m) fo
 
 
 def _graded(spark, sf):
-    """Every configuration's games with a gap of ratings and an outcome of three, draws among them."""
+    """Every game with each configuration's gap of ratings, as an array, and an outcome of three, draws among them."""
     rated = ratings.rate_side_by_side(rated_games(spark, sf), ["league"], list(_GRID.values()), ["rating_a", "rating_b"])
     won = F.when(F.col("score_a") > F.col("score_b"), 0).when(F.col("score_a") < F.col("score_b"), 2).otherwise(1)
-    grid = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(c.home).alias("home")) for n, c in _GRID.items()])
-    each = rated.select("season", "neutral", won.alias("c"), F.explode(F.arrays_zip(grid.alias("g"), "rating_a", "rating_b")).alias("r"))
-    gap = F.col("r.rating_a") - F.col("r.rating_b") + F.when(F.col("neutral"), 0.0).otherwise(F.col("r.g.home"))
-    each = each.select(F.col("r.g.config").alias("config"), "season", gap.alias("gap"), "c")
-    return each.select("config", "season", "gap", (1 / (1 + F.pow(F.lit(10.0), -F.col("gap") / 400))).alias("expected"), "c", (F.col("c") == 1).cast("int").alias("drawn"))
+    edges = F.array(*[F.lit(c.home) for c in _GRID.values()])
+    gaps = F.transform(F.zip_with("rating_a", "rating_b", lambda a, b: a - b), lambda g, k: g + F.when(F.col("neutral"), 0.0).otherwise(edges[k]))
+    return rated.select("season", gaps.alias("gaps"), won.alias("c")).withColumn("drawn", (F.col("c") == 1).cast("int"))
 
 
 def _three(rows, curve):
     """(config, season, c, q): three-way probabilities with the configuration's draw curve."""
-    met = rows.join(F.broadcast(curve.select("config", "base", "spread")), "config")  # a row a configuration
+    named = curve.select("at", "base", "spread", F.element_at(F.array(*[F.lit(n) for n in _GRID]), F.col("at") + 1).alias("config"))
+    met = rows.select("season", "c", F.posexplode("gaps").alias("at", "gap")).join(F.broadcast(named), "at")  # a row a configuration
+    won = 1 / (1 + F.pow(F.lit(10.0), -F.col("gap") / 400))
     draw = F.col("base") * F.when(F.col("spread").isNull(), 1.0).otherwise(F.exp(-F.pow(F.col("gap") / F.col("spread"), F.lit(2.0))))
-    return met.select("config", "season", "c", calibrate.renormalised(F.array(F.col("expected") * (1 - draw), draw, (1 - F.col("expected")) * (1 - draw)), 0.02, 0.98).alias("q"))
+    parts = met.select("config", "season", "c", won.alias("won"), draw.alias("draw"))
+    three = [calibrate.clipped(p, 0.02, 0.98) for p in (F.col("won") * (1 - F.col("draw")), F.col("draw"), (1 - F.col("won")) * (1 - F.col("draw")))]
+    return parts.select("config", "season", "c", F.array(*[p / (three[0] + three[1] + three[2]) for p in three]).alias("q"))
 
 
 @query()
 def r8_grid(spark, sf):
     """27 configurations: the draw curve is fitted on seasons before 1999, the score is of the seasons from it on."""
     rows = saved(_graded(spark, sf))
-    curve = calibrate.draw_curve(rows.where("season < 1999"), ["config"], "gap", "drawn")
+    curve = calibrate.draw_curves(rows.where("season < 1999"), "gaps", "drawn")
     got = evaluate.class_scores(_three(rows.where("season >= 1999"), curve), ["config"])
     return got.select("config", "n", r6("log_loss", "log_loss"), r6("accuracy", "accuracy"))
 
@@ -111,8 +113,8 @@ def r9_walk_forward(spark, sf):
     """For each season from the fourth on, the configuration that was best on all seasons before it, and what it then scores."""
     rows = saved(_graded(spark, sf))
     first = rows.agg(F.min("season")).first()[0] + 1
-    curve = calibrate.draw_curve(rows.where(F.col("season") <= first), ["config"], "gap", "drawn")
-    by = evaluate.class_scores(_three(rows.where(F.col("season") > first), curve), ["config", "season"])
+    curve = calibrate.draw_curves(rows.where(F.col("season") <= first), "gaps", "drawn")
+    by = saved(evaluate.class_scores(_three(rows.where(F.col("season") > first), curve), ["config", "season"]))
     w = W.partitionBy("config").orderBy("season").rowsBetween(W.unboundedPreceding, -1)
     past = by.withColumn("past", F.sum(F.col("log_loss") * F.col("n")).over(w) / F.sum("n").over(w)).where("past is not null")
     best = past.withColumn("_at", F.row_number().over(W.partitionBy("season").orderBy("past", "config"))).where("_at = 1")  # a row a configuration
