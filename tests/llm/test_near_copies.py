@@ -50,3 +50,20 @@ def test_rows_are_told_apart_by_id_and_text(spark):
             (None, "a text without an id that no other row has"), (None, "one text of its own that stands here alone"), (7, None), (8, " ")]
     got = [(r.doc_id, r.text) for r in minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS h")).collect()]
     assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[4], rows[6]], key=str)
+
+
+def test_golay_keys_give_candidates_and_their_links_are_kept_without_a_shared_band(spark, monkeypatch):
+    long = [f"v{i}" for i in range(1500)]
+    texts = [" ".join(long), edited(long, (700,)), " ".join(long).upper(), edited(WORDS, range(0, 2000, 3))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    found = {(r.a, r.b) for r in minhash.golay_candidates(rows).collect()}
+    assert {(0, 2), (0, 1)} <= found and not any(3 in pair for pair in found)
+
+    def no_keys(batches):
+        for batch in batches:
+            yield batch.head(0).assign(key=0, n=0)[["key", "h", "n"]].astype({"key": "int64", "n": "int32"})
+
+    monkeypatch.setattr(minhash, "_keyed", no_keys)
+    docs = rows.withColumnRenamed("h", "doc_id")
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
