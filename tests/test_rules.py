@@ -186,3 +186,14 @@ def test_states_of_few_rows_are_left_out_by_query_and_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert set(got.state) == {"early"} and (got.share < 1).all()
     assert not differs(got, con.sql(ORACLES["w39_t38_t43_y48_y49_states"]).df())
+
+
+def test_latest_values_look_at_filings_before_the_decision_only(spark):
+    facts = [(1, "assets", "2019-12-31", 5.0, "2020-02-01"), (1, "assets", "2020-03-31", 6.0, "2020-05-01"), (1, "assets", "2020-03-31", 7.0, "2020-06-01"), (1, "assets", "2019-12-31", 5.5, "2020-07-01"), (1, "cash", "2020-03-31", 1.0, "2020-05-01"), (1, "cash", "2020-03-31", 2.0, "2020-05-01"), (2, "cash", "2020-03-31", 9.0, None)]
+    filings = spark.createDataFrame(facts, "ticker int, alias string, end_d string, val double, filed string").selectExpr("ticker", "alias", "end_d::date", "val", "filed::date")
+    at = spark.createDataFrame([(1, d) for d in ("2020-02-01", "2020-02-02", "2020-06-01", "2020-07-02")] + [(2, "2020-07-02")], "ticker int, at string").selectExpr("ticker", "at::date")
+    got = fundamentals.latest_values(filings, at)
+    assert sorted((r.ticker, str(r.at), r.alias, r.val, str(r.filed), str(r.newest)) for r in got.collect()) == [
+        (1, "2020-02-02", "assets", 5.0, "2020-02-01", "2020-02-01"), (1, "2020-06-01", "assets", 6.0, "2020-05-01", "2020-05-01"), (1, "2020-06-01", "cash", 2.0, "2020-05-01", "2020-05-01"),
+        (1, "2020-07-02", "assets", 7.0, "2020-06-01", "2020-07-01"), (1, "2020-07-02", "cash", 2.0, "2020-05-01", "2020-05-01"),
+    ]

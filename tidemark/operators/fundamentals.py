@@ -46,7 +46,7 @@ def by_alias(facts: DataFrame) -> DataFrame:
     """
     names = [(a, c) for a, concepts in ALIASES.items() for c in concepts]
     table = facts.sparkSession.createDataFrame(names, "alias string, concept string")
-    met = facts.join(F.broadcast(table), "concept")
+    met = facts.join(F.broadcast(table), "concept").repartition("ticker")  # dealt once: the steps to quarters and sums stay in a ticker's task
     shares = F.col("alias") == "shares_outstanding"
     dei = F.max((F.col("taxonomy") == "dei").cast("int")).over(W.partitionBy("ticker", "concept")) == 1
     kept = met.where(F.when(shares, F.col("unit") == "shares").otherwise((F.col("unit") == "USD") & (F.col("taxonomy") == "us-gaap")))
@@ -100,9 +100,33 @@ def trailing_sums(quarters: DataFrame, n: int = 4) -> DataFrame:
     return last.groupBy(*group).agg(F.sum("val").alias("val"), F.count("*").alias("k")).where(F.col("k") == n).drop("k")
 
 
-def latest_values(known: DataFrame) -> DataFrame:
-    """(ticker, at, alias, val, filed): the known value of the latest period, and its filing."""
-    return known.groupBy("ticker", "at", "alias").agg(F.max_by("val", "end_d").alias("val"), F.max_by("filed", "end_d").alias("filed"), F.max("filed").alias("newest"))
+def _last_known(filings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """(ticker, at, a column an alias): what each alias showed last before a decision, and each alias's val, filed and newest as expressions of it.
+
+    A filing counts once, for the first decision after it, and decisions then take the best of those before: a ticker has a row a
+    decision there, not one for each period that is known at it.
+    """
+    rank = {a: f"_a{k}" for k, a in enumerate(ALIASES)}
+    event = filings.where("filed is not null").select("ticker", F.col("filed").alias("_t"), F.lit(1).alias("_kind"), "alias", F.struct("end_d", "filed", "val").alias("_v"))
+    asked = decisions.select("ticker", "at").where("at is not null").distinct()
+    asks = asked.select("ticker", F.col("at").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast(event.schema["_v"].dataType).alias("_v"))
+    # a decision sorts before filings of its day, so these belong to the next one
+    after = W.partitionBy("ticker").orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(W.unboundedPreceding, 0)
+    slotted = event.unionByName(asks).withColumn("at", F.last(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(after)).where("at is not null")
+    mine = lambda a: F.when(F.col("alias") == a, F.col("_v"))
+    each = slotted.groupBy("ticker", "at").agg(*[F.struct(F.max(mine(a)).alias("v"), F.max(mine(a)["filed"]).alias("n")).alias(c) for a, c in rank.items()])
+    upto = W.partitionBy("ticker").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    best = each.select("ticker", "at", *[F.struct(F.max(f"{c}.v").over(upto).alias("v"), F.max(f"{c}.n").over(upto).alias("n")).alias(c) for c in rank.values()])
+    dated = lambda c, x: F.when(F.col(f"{c}.v.end_d").isNotNull(), F.col(f"{c}.v.{x}"))
+    return best, {a: {"val": dated(c, "val"), "filed": dated(c, "filed"), "newest": F.col(f"{c}.n")} for a, c in rank.items()}
+
+
+def latest_values(filings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(ticker, at, alias, val, filed, newest): the value of each alias's latest period known at a decision, as filed last, and its filing; newest: the alias's last filing."""
+    best, shown = _last_known(filings, decisions)
+    rows = F.array(*[F.struct(F.lit(a).alias("alias"), c["val"].alias("val"), c["filed"].alias("filed"), c["newest"].alias("newest")) for a, c in shown.items()])
+    every = best.select("ticker", "at", F.inline(rows)).where("newest is not null")
+    return decisions.select("ticker", "at").join(every, ["ticker", "at"])
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -111,12 +135,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def metrics(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row for each decision: trailing sums, balances, ratios and the filing date of the latest income. Null wherever a part is missing."""
-    known = saved(as_known(by_alias(facts), decisions))  # read for flows and for balances
-    sums = trailing_sums(quarterise(known.where(F.col("alias").isin(*FLOWS))))
-    balances = latest_values(known)
-    pick = lambda alias, c="val": F.max(F.when(F.col("alias") == alias, F.col(c)))
-    flows = sums.groupBy("ticker", "at").agg(*[pick(a).alias(f"ttm_{a}") for a in FLOWS])
-    stocks = balances.groupBy("ticker", "at").agg(*[pick(a).alias(name) for name, a in STOCKS.items()], pick("net_income", "filed").alias("latest_filing"))
+    filings = saved(by_alias(facts))  # read for flows and for balances
+    sums = trailing_sums(quarterise(as_known(filings.where(F.col("alias").isin(*FLOWS)).repartition("ticker"), decisions)))
+    flows = sums.groupBy("ticker", "at").agg(*[F.max(F.when(F.col("alias") == a, F.col("val"))).alias(f"ttm_{a}") for a in FLOWS])
+    best, shown = _last_known(filings.where(F.col("alias").isin("net_income", *STOCKS.values())), decisions)
+    stocks = best.select("ticker", "at", *[shown[a]["val"].alias(name) for name, a in STOCKS.items()], shown["net_income"]["filed"].alias("latest_filing"))
     got = decisions.select("ticker", "at").join(flows, ["ticker", "at"], "left").join(stocks, ["ticker", "at"], "left")
     c = F.col
     debt = F.when(c("long_term_debt").isNotNull() | c("short_term_debt").isNotNull(), F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0)))

@@ -99,7 +99,7 @@ def x3_trailing_sums(spark, sf):
 
 @query(f"{_CHAIN} SELECT ticker, at, alias, round(val, 2) AS val, newest FROM lv JOIN dec USING (ticker, at)")
 def x4_latest_values(spark, sf):
-    return fundamentals.latest_values(_known(spark, sf)).select("ticker", "at", "alias", r2("val", "val"), "newest")
+    return fundamentals.latest_values(fundamentals.by_alias(_facts(spark, sf)), _decisions(spark, sf)).select("ticker", "at", "alias", r2("val", "val"), "newest")
 
 
 @query(f"{_CHAIN} SELECT ticker, at, {', '.join(f'round({c}, 2) AS {c}' for c in _FIGURES)}, latest_filing FROM mt JOIN dec USING (ticker, at)")
