@@ -1,10 +1,14 @@
 """Fold runs: what is guarded, what a fold sees, reruns."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import experiment, splits
+from tidemark.plans import calibration
+from tidemark.sources.saved import shared_folder
 
 
 def _games(n=600):
@@ -61,3 +65,45 @@ def test_trees_give_importances_and_reruns_agree(spark):
     assert runs[0] == runs[1] and len({r[0] for r in runs[0]}) == 3
     assert all(i == {"a": 1.0, "b": 0.0} for i in importances.values()) and len(importances) == 3
     assert all(0.03 <= r[4] <= 0.97 for r in runs[0])
+
+
+def _written(spark, made):
+    """Rows of the saved tables that made() leaves."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    made()
+    return sum(spark.read.parquet(f"{folder}/{t}").count() for t in set(os.listdir(folder)) - before)
+
+
+@pytest.mark.parametrize("name", ["v16_leave_one_season_out", "v14_stacked", "v18_y34_ablation", "y33_fixed_windows"])
+def test_rows_are_stored_once_and_not_for_each_fold(spark, name):
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert n <= _written(spark, lambda: getattr(calibration, name)(spark, "/root/testdata/sf0.001").collect()) < 1.2 * n
+
+
+def test_rows_stored_once_give_what_spread_ones_give(spark):
+    rows, schema = _games()
+    df = spark.createDataFrame(rows, schema)
+    steps = [experiment.Step("mean", ("b",)), experiment.Step("minmax", ("a", "b"))]
+    for kind in ("previous", "expanding"):
+        got = [experiment.run(folds(df, "season", kind), ["a", "b"], "y", "id", steps=steps, method="platt", day="day").collect() for folds in (experiment.seasons, experiment.season_folds)]
+        once, spread = [{(r.fold, r.id): (r.raw, r.p) for r in g} for g in got]
+        assert once.keys() == spread.keys() and np.allclose([once[k] for k in once], [spread[k] for k in once], atol=1e-9)
+    with pytest.raises(ValueError, match="twice"):
+        experiment.run(experiment.seasons(df.unionByName(df.limit(1)), "season"), ["a"], "y", "id")
+
+
+@pytest.mark.parametrize("days", [1, 7, 600])
+def test_walk_forward_cuts_inside_a_day(spark, days):
+    rng = np.random.default_rng(days)
+    rows = [(int(i), int(2000 + s), None if d == 5 else int(d)) for i, s, d in zip(rng.permutation(900), rng.integers(0, 6, 900), rng.integers(0, days, 900))]
+    folds = splits.walked(spark.createDataFrame(rows, "id long, season int, day int").repartition(5), "season", "day", "id", 2)
+    assert folds.rows.count() == 900 and folds.rows.select("id").distinct().count() == 900
+    got = {(r.eval, r.id): r.part for r in folds.spread("eval").collect()}
+    ranked = sorted(rows, key=lambda r: (r[1], -1 if r[2] is None else r[2], r[0]))
+    want = {}
+    for fold in range(2002, 2006):
+        earlier = [r[0] for r in ranked if r[1] < fold]
+        want |= {(fold, i): "train" if k < int(len(earlier) * 0.8 + 1e-9) else "cal" for k, i in enumerate(earlier)}
+        want |= {(fold, r[0]): "test" for r in rows if r[1] == fold}
+    assert got == want
