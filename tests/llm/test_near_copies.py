@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, simhash
 
 WORDS = [f"w{i}" for i in range(2000)]
 
@@ -67,3 +67,20 @@ def test_golay_keys_give_candidates_and_their_links_are_kept_without_a_shared_ba
     docs = rows.withColumnRenamed("h", "doc_id")
     got = {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def broadcast_parts(df):
+    """What each broadcast of a query's plan is made of, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            yield "\n".join(lines[k:end])
+
+
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    prints = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    got = simhash.fingerprint_links(prints)
+    assert not [part for part in broadcast_parts(got) if "MapInPandas" in part]
+    assert got.count() == 0

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, text_of
+from .common import components, met_by_size, saved, text_of
 
 SEED = 42
 SHINGLE = 4
@@ -164,13 +164,14 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     prints has one row for each distinct fp. Keys shared by at most JOINED fingerprints meet in a join
     that keeps only true links. The others are dealt in blocks of about BLOCK, every pair of
     blocks is one task's group, and a group returns a spanning forest, so that nothing is skipped and
-    neither memory nor output grows with the square of a key's fingerprints.
+    neither memory nor output grows with the square of a key's fingerprints. A fingerprint has some 64 keys, which
+    Spark does not count in the size of what Python returns, so the join is a merge by request.
     """
     keys = prints.select("fp").mapInPandas(_emit_keys, "key long, side byte, fp long")
-    hot = saved(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > JOINED))
+    hot = met_by_size(saved(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > JOINED)))
     cold = keys.join(hot, "key", "left_anti")
     left = cold.where("side <> 1").select("key", F.col("fp").alias("a"))
-    right = cold.where("side <> 0").select("key", F.col("fp").alias("b"))
+    right = cold.where("side <> 0").select("key", F.col("fp").alias("b")).hint("merge")
     within = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     close = left.join(right, (left["key"] == right["key"]) & within).select("a", "b")
 
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = saved(fingerprints(docs, id_col, text_col))
     distinct = saved(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
