@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 
-from tidemark.llm import minhash, simhash
+from tidemark.llm import line_templates, minhash, simhash
 
 WORDS = [f"w{i}" for i in range(2000)]
 
@@ -84,3 +84,20 @@ def test_keys_of_fingerprints_are_never_broadcast(spark):
     got = simhash.fingerprint_links(prints)
     assert not [part for part in broadcast_parts(got) if "MapInPandas" in part]
     assert got.count() == 0
+
+
+def test_blocks_of_a_common_key_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "JOINED", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts = [" ".join(f"x{k}" if i == k else w for i, w in enumerate(WORDS[:100])) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    assert not [part for part in broadcast_parts(minhash.links(docs)) if "Generate" in part]
+
+
+def test_tokens_of_lines_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_templates, "saved", lambda df, save=line_templates.saved: [plans.append(df._jdf.queryExecution().executedPlan().toString()), save(df)][1])
+    texts = ["\n".join(f"one two three four {a} {b}" for a in "abc") for b in "xyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    line_templates.recurring(line_templates._lines(docs))
+    assert any("SortMergeJoin [slot#" in plan for plan in plans)

@@ -84,13 +84,14 @@ def recurring(lines: DataFrame) -> DataFrame:
     tokens = texts.select("leaf", "kind", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("token") != VARIABLE)
     tokens = tokens.select("leaf", "kind", F.xxhash64("leaf", "at", "token").alias("slot"))
     slots = tokens.groupBy("slot").agg(F.count("*").alias("m")).where("m > 1")
-    counted = tokens.join(slots.select("slot", "m"), "slot").groupBy("leaf", "kind").agg(F.sort_array(F.collect_list(F.struct("m", "slot")), asc=False).alias("slots"))
+    # by request: Spark sizes the tokens by the file of lines, and would broadcast them
+    counted = tokens.join(slots.select("slot", "m").hint("merge"), "slot").groupBy("leaf", "kind").agg(F.sort_array(F.collect_list(F.struct("m", "slot")), asc=False).alias("slots"))
     sizes = texts.select("leaf", "kind", F.size(F.split("line", " ")).alias("n"))
     least = F.get("slots", F.ceil(CONSTANT * F.col("n")).cast("int") - 1)["m"]
     shape = F.array_sort(F.transform(F.filter("slots", lambda s: s["m"] >= SHARE * least), lambda s: s["slot"]))
     by_itself, by_shape = F.struct(F.lit(0).alias("by"), F.col("kind").alias("hash")), F.struct(F.lit(1).alias("by"), F.xxhash64(shape).alias("hash"))
     shaped = sizes.join(counted, ["leaf", "kind"], "left").select("leaf", "kind", F.when(least.isNotNull(), by_shape).otherwise(by_itself).alias("template"))
-    shaped = saved(shaped.join(kinds, ["leaf", "kind"]).select("leaf", "kind", "template", first.alias("first"), "apart"))
+    shaped = saved(shaped.join(kinds.hint("merge"), ["leaf", "kind"]).select("leaf", "kind", "template", first.alias("first"), "apart"))
     who = F.struct("first.doc_id", "first.h")
     groups = shaped.groupBy("leaf", "template").agg(F.min("first").alias("first"), (F.max("apart") | ~F.min(who).eqNullSafe(F.max(who))).alias("recurs")).where("recurs").drop("recurs")
     alike = shaped.select("leaf", "kind", "template").join(groups, ["leaf", "template"]).select("leaf", "kind", "first")
