@@ -94,6 +94,23 @@ def test_quarters_of_three_reporting_patterns(spark):
         got.setdefault(r.ticker, []).append(r.val)
     assert got == {"left": [10.0, 20.0, 30.0, 40.0], "sums": [10.0, 20.0, 30.0, 40.0]}
     assert {r.ticker: r.val for r in fundamentals.trailing_sums(fundamentals.quarterise(known)).collect()} == {"left": 100.0, "sums": 100.0}
+    assert "Union" not in fundamentals.quarterise(known)._jdf.queryExecution().executedPlan().toString()  # a task makes the known rows once
+
+
+def test_figures_are_dealt_by_the_pairs_of_filings_and_decisions(spark, monkeypatch):
+    d = dt.date
+    ends = [d(2022, 3, 31), d(2022, 6, 30), d(2022, 9, 30), d(2022, 12, 31)]
+    rows = [(f"t{k}", "us-gaap", concept, "USD", e - dt.timedelta(89), e, float(k + j), e + dt.timedelta(40), "10-Q") for k in range(6) for concept in ("NetIncomeLoss", "Assets") for j, e in enumerate(ends)]
+    facts = spark.createDataFrame(rows, "ticker string, taxonomy string, concept string, unit string, start_d date, end_d date, val double, filed date, form string")
+    decisions = spark.createDataFrame([(f"t{k}", d(y, 6, 1)) for k in range(6) for y in (2022, 2023, 2024)], "ticker string, at date")
+    figures = lambda: fundamentals.metrics(facts, decisions).select("ticker", "at", "ttm_net_income", "total_assets", "latest_filing")
+    want = sorted(tuple(r) for r in figures().collect() if r.total_assets is not None)
+    assert want[:2] == [("t0", d(2022, 6, 1), None, 0.0, d(2022, 5, 10)), ("t0", d(2023, 6, 1), 6.0, 3.0, d(2023, 2, 9))] and len(want) == 18
+    monkeypatch.setattr(fundamentals, "PAIRS", 16)  # 48 filings, each with 3 decisions
+    got = figures()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 9), REPARTITION_BY_NUM") == 2
+    assert sorted(tuple(r) for r in got.collect() if r.total_assets is not None) == want
 
 
 def test_a_guard_raises_with_examples(spark):

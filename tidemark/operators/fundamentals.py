@@ -78,18 +78,19 @@ def quarterise(known: DataFrame) -> DataFrame:
     first = (F.col("kind") == "pure") & (F.col("start_d") == F.col("y.start_d")) & (F.col("end_d") < F.col("y.end_d"))
     later = (F.col("kind") == "pure") & (F.col("start_d") > F.col("y.start_d")) & (F.col("end_d") <= F.col("y.end_d"))
     sums = (F.col("kind") == "sum") & (F.col("start_d") == F.col("y.start_d")) & (F.col("end_d") < F.col("y.end_d"))
-    parts = lambda c: F.array_sort(F.collect_list(F.when(c, part)))
-    years = rows.where("y is not null").groupBy(*group, "y").agg(parts(first).alias("q1"), parts(later).alias("pure"), parts(sums).alias("sums")).where(F.size("q1") == 1)
-    q1, made = F.col("q1")[0], lambda end, start, val, filed: F.struct(end.alias("end_d"), start.alias("start_d"), val.alias("val"), filed.alias("filed"))
+    loose = (F.col("kind") == "pure") & (F.col("last_annual").isNull() | (F.col("end_d") > F.col("last_annual")))
+    listed = lambda c: F.collect_list(F.when(c, part))
+    # quarters after the last annual figure come along with the year before them, so that the rows are made once
+    years = rows.groupBy(*group, "y").agg(F.array_sort(listed(first)).alias("q1"), F.array_sort(listed(later)).alias("pure"), F.array_sort(listed(sums)).alias("sums"), listed(loose).alias("loose"))
+    q1, made = F.get("q1", F.lit(0)), lambda end, start, val, filed: F.struct(end.alias("end_d"), start.alias("start_d"), val.alias("val"), filed.alias("filed"))
     spent = F.aggregate("pure", q1["val"], lambda s, p: s + p["val"])
     rest = made(F.col("y.end_d"), F.array_max(F.transform("pure", lambda p: p["end_d"])), F.col("y.val") - spent, F.col("y.filed"))
     half, nine = F.get("sums", F.lit(0)), F.get("sums", F.lit(1))
     steps = F.array(q1, made(half["end_d"], q1["end_d"], half["val"] - q1["val"], half["filed"]), made(nine["end_d"], half["end_d"], nine["val"] - half["val"], nine["filed"]), made(F.col("y.end_d"), nine["end_d"], F.col("y.val") - nine["val"], F.col("y.filed")))
-    n_pure, n_sums = F.size("pure"), F.size("sums")
-    quarters = F.when((n_pure == 2) & (n_sums == 0), F.concat("q1", "pure", F.array(rest))).when((n_pure == 0) & (n_sums == 2), steps).when((n_pure == 3) & (n_sums == 0), F.concat("q1", "pure"))
-    out = years.select(*group, F.inline(quarters))
-    loose = rows.where((F.col("kind") == "pure") & (F.col("last_annual").isNull() | (F.col("end_d") > F.col("last_annual")))).select(*group, "end_d", "start_d", "val", "filed")
-    both = out.unionByName(loose).withColumn("_n", F.row_number().over(W.partitionBy(*group, "end_d").orderBy(F.desc("filed"), F.desc("val")))).where("_n = 1")
+    n_pure, n_sums, one = F.size("pure"), F.size("sums"), F.size("q1") == 1
+    quarters = F.when(one & (n_pure == 2) & (n_sums == 0), F.concat("q1", "pure", F.array(rest))).when(one & (n_pure == 0) & (n_sums == 2), steps).when(one & (n_pure == 3) & (n_sums == 0), F.concat("q1", "pure"))
+    both = years.select(*group, F.inline(F.when(quarters.isNull(), F.col("loose")).otherwise(F.concat(quarters, "loose"))))
+    both = both.withColumn("_n", F.row_number().over(W.partitionBy(*group, "end_d").orderBy(F.desc("filed"), F.desc("val")))).where("_n = 1")
     return both.select(*group, "start_d", "end_d", "val", "filed")
 
 
@@ -100,7 +101,7 @@ def trailing_sums(quarters: DataFrame, n: int = 4) -> DataFrame:
     return last.groupBy(*group).agg(F.sum("val").alias("val"), F.count("*").alias("k")).where(F.col("k") == n).drop("k")
 
 
-def _last_known(filings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+def _last_known(filings: DataFrame, decisions: DataFrame, parts: int | None = None) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
     """(ticker, at, a column an alias): what each alias showed last before a decision, and each alias's val, filed and newest as expressions of it.
 
     A filing counts once, for the first decision after it, and decisions then take the best of those before: a ticker has a row a
@@ -112,7 +113,7 @@ def _last_known(filings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, di
     asks = asked.select("ticker", F.col("at").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast(event.schema["_v"].dataType).alias("_v"))
     # a decision sorts before filings of its day, so these belong to the next one
     after = W.partitionBy("ticker").orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(W.unboundedPreceding, 0)
-    slotted = event.unionByName(asks).withColumn("at", F.last(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(after)).where("at is not null")
+    slotted = (_dealt(event.unionByName(asks), parts) if parts else event.unionByName(asks)).withColumn("at", F.last(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(after)).where("at is not null")
     mine = lambda a: F.when(F.col("alias") == a, F.col("_v"))
     each = slotted.groupBy("ticker", "at").agg(*[F.struct(F.max(mine(a)).alias("v"), F.max(mine(a)["filed"]).alias("n")).alias(c) for a, c in rank.items()])
     upto = W.partitionBy("ticker").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
@@ -133,14 +134,35 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+#: A task of the steps from filings to figures takes the filings of so many tickers that their pairs with decisions are about this many.
+PAIRS = 250_000
+
+
+def _parts(filings: DataFrame, decisions: DataFrame) -> int | None:
+    """In how many parts to deal filings and decisions by ticker; None: as Spark likes. Both are saved tables.
+
+    The steps that follow keep a ticker in its task and make a row of each filing and decision in several sorts. Left to itself
+    Spark joins parts up by the compressed bytes that go into the task.
+    """
+    n = filings.agg(F.count("*").alias("rows"), F.approx_count_distinct("ticker").alias("tickers")).first()
+    pairs = n["rows"] * max(1, -(-decisions.count() // max(1, n["tickers"])))
+    return max(-(-pairs // PAIRS), int(filings.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if pairs > PAIRS else None
+
+
+def _dealt(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows.repartition(parts, "ticker") if parts else rows.repartition("ticker")
+
+
 def metrics(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row for each decision: trailing sums, balances, ratios and the filing date of the latest income. Null wherever a part is missing."""
     filings = saved(by_alias(facts))  # read for flows and for balances
-    sums = trailing_sums(quarterise(as_known(filings.where(F.col("alias").isin(*FLOWS)).repartition("ticker"), decisions)))
+    decisions = saved(decisions.select("ticker", "at"))  # read for flows, for balances and for the rows themselves
+    parts = _parts(filings, decisions)
+    sums = trailing_sums(quarterise(as_known(_dealt(filings.where(F.col("alias").isin(*FLOWS)), parts), decisions)))
     flows = sums.groupBy("ticker", "at").agg(*[F.max(F.when(F.col("alias") == a, F.col("val"))).alias(f"ttm_{a}") for a in FLOWS])
-    best, shown = _last_known(filings.where(F.col("alias").isin("net_income", *STOCKS.values())), decisions)
+    best, shown = _last_known(filings.where(F.col("alias").isin("net_income", *STOCKS.values())), decisions, parts)
     stocks = best.select("ticker", "at", *[shown[a]["val"].alias(name) for name, a in STOCKS.items()], shown["net_income"]["filed"].alias("latest_filing"))
-    got = decisions.select("ticker", "at").join(flows, ["ticker", "at"], "left").join(stocks, ["ticker", "at"], "left")
+    got = decisions.join(flows, ["ticker", "at"], "left").join(stocks, ["ticker", "at"], "left")
     c = F.col
     debt = F.when(c("long_term_debt").isNotNull() | c("short_term_debt").isNotNull(), F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0)))
     return got.withColumns({

@@ -80,8 +80,9 @@ def _known(spark, sf):
 
 def _valued(spark, sf):
     """Figures of every decision with the last price before it."""
-    priced = asof.as_of(_decisions(spark, sf), monthly(spark, sf).select("ticker", "d", "px"), ["ticker"], "at", "d", ["px"])
-    return fundamentals.valuations(fundamentals.metrics(_facts(spark, sf), _decisions(spark, sf)).join(priced, ["ticker", "at"]))
+    decisions = saved(_decisions(spark, sf))
+    priced = asof.as_of(decisions, monthly(spark, sf).select("ticker", "d", "px"), ["ticker"], "at", "d", ["px"])
+    return fundamentals.valuations(fundamentals.metrics(_facts(spark, sf), decisions).join(priced, ["ticker", "at"]))
 
 
 @query(f"{_CHAIN} SELECT ticker, at, alias, end_d, start_d, round(val, 2) AS val, filed FROM qt JOIN dec USING (ticker, at)")
